@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import terms
+from heddle.llm import site_lines, terms
 from heddle.session import read_table
 
 _BLANKS = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(160)"
@@ -37,11 +37,31 @@ def p6_term_weights(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("term", "doc_id", "tf", "df", F.round("tf_idf", 4).alias("tf_idf"), F.round("weight", 4).alias("weight"))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    return site_lines.repeated_lines(docs).select("doc_id", F.col("line_no").cast("int").alias("line_no"))
+
+
+def p7_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    return site_lines.without_repeated_lines(docs).select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.col("lines_cut").cast("bigint").alias("lines_cut"))
+
+
+_LINES = """
+    lines AS (SELECT doc_id, source, line_no, line, trim(regexp_replace(regexp_replace(lower(line), '\\p{Nd}+', '0', 'g'), '[^\\p{L}\\p{Nd}]+', ' ', 'g'), ' ') AS norm
+              FROM (SELECT doc_id, lower(trim(source)) AS source, unnest(string_split(text, chr(10))) AS line,
+                           generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL)),
+    long AS (SELECT * FROM lines WHERE source IS NOT NULL AND length(regexp_replace(norm, '[^\\p{L}]', '', 'g')) >= 20),
+    often AS (SELECT source, norm FROM long GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 4),
+    cases AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM long JOIN often USING (source, norm))"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_term_counts": p4_term_counts,
     "p6_found": p6_found,
     "p6_term_weights": p6_term_weights,
+    "p7_found": p7_found,
+    "p7_cleaned": p7_cleaned,
 }
 
 SQL: dict[str, str] = {
@@ -59,4 +79,10 @@ SQL: dict[str, str] = {
         l AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM s GROUP BY 1)
         SELECT term, doc AS doc_id, CAST(f AS BIGINT) AS tf, CAST(df AS BIGINT) AS df, round(w, 4) AS tf_idf,
                round(CASE WHEN norm > 0 THEN w / norm ELSE 0 END, 4) AS weight FROM s JOIN l USING (doc)""",
+    "p7_found": f"WITH {_LINES} SELECT DISTINCT doc_id, line_no FROM cases",
+    "p7_cleaned": f"""WITH {_LINES},
+        kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE c.line_no IS NULL) AS t, count(c.line_no) AS cut
+                 FROM lines l LEFT JOIN cases c ON l.doc_id = c.doc_id AND l.line_no = c.line_no GROUP BY 1)
+        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN CAST(coalesce(length(t), 0) AS BIGINT) END AS n_chars,
+               CAST(coalesce(cut, 0) AS BIGINT) AS lines_cut FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
 }
