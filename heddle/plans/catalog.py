@@ -6,5 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heddle.operators import ledger
+from heddle.session import read_table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def _ledger_states(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.page_states(*(read_table(spark, sf, t) for t in ("crawl_store", "processed_docs", "crawl_runs")))
+
+
+QUERIES["p5_found"] = lambda spark, sf: _ledger_states(spark, sf).where("state = 'pending'").select("rec_id")
+QUERIES["p5_ledger_states"] = lambda spark, sf: _ledger_states(spark, sf).select("rec_id", "item", "state")
+
+
+def _page(url: str) -> str:
+    bare = f"regexp_replace(regexp_replace(trim({url}), '[?#][\\s\\S]*$', ''), '/+$', '')"
+    origin = f"regexp_extract({bare}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+    return f"lower({origin}) || substr({bare}, length({origin}) + 1)"
+
+
+_STATES = f"""
+    newest AS (SELECT rec_id, item, version FROM (
+        SELECT rec_id, {_page("url")} AS item, coalesce(nullif(lower(trim(content_hash)), ''), md5(content)) AS version,
+               row_number() OVER (PARTITION BY {_page("url")} ORDER BY last_crawled DESC NULLS LAST, rec_id DESC) AS r
+        FROM crawl_store WHERE url IS NOT NULL) WHERE r = 1),
+    done AS (SELECT item, version FROM (
+        SELECT {_page("p.url")} AS item, lower(p.content_hash) AS version,
+               row_number() OVER (PARTITION BY {_page("p.url")} ORDER BY p.run_id DESC, lower(p.content_hash) DESC NULLS LAST) AS r
+        FROM processed_docs p JOIN (SELECT DISTINCT run_id FROM crawl_runs WHERE status = 'success') USING (run_id)) WHERE r = 1),
+    states AS (SELECT n.rec_id, n.item,
+                      CASE WHEN d.item IS NOT NULL AND n.version IS NOT DISTINCT FROM d.version THEN 'done' ELSE 'pending' END AS state
+               FROM newest n LEFT JOIN done d USING (item))"""
+SQL["p5_found"] = f"WITH {_STATES} SELECT rec_id FROM states WHERE state = 'pending'"
+SQL["p5_ledger_states"] = f"WITH {_STATES} SELECT rec_id, item, state FROM states"
