@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import site_lines, terms
-from heddle.session import read_table
+from heddle.llm import page_body, quality, residue, site_lines, terms
+from heddle.session import read_table, write_stage
 
 _BLANKS = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(160)"
 _PAIRS = f"""
@@ -20,6 +20,35 @@ _PAIRS = f"""
     d AS (SELECT term, count(*) AS df, sum(f) AS occ FROM pairs GROUP BY 1)"""
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "title", "text")
+    return quality.not_prose(docs, read_table(spark, sf, "common_words"))
+
+
+def p1_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "title", "text")
+    return quality.profiles(write_stage(quality.statistics(docs, read_table(spark, sf, "common_words")), "statistics"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return page_body.lines_outside_body(read_table(spark, sf, "crawl_store").select("rec_id", "url", "title", "content"))
+
+
+def p2_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    store = read_table(spark, sf, "crawl_store").select("rec_id", "url", "title", "content")
+    return page_body.main_body(store).select("rec_id", "body", "lines_cut")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "url", "title", "source", "text")
+    return residue.residue(docs).select("doc_id")
+
+
+def p3_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "url", "title", "source", "text")
+    return residue.residue(docs)
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return terms.term_marks(read_table(spark, sf, "inverted_index")).where("mark IS NOT NULL").select("term", "mark")
 
@@ -56,6 +85,12 @@ _LINES = """
     cases AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM long JOIN often USING (source, norm))"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_profiles": p1_profiles,
+    "p2_found": p2_found,
+    "p2_bodies": p2_bodies,
+    "p3_found": p3_found,
+    "p3_reasons": p3_reasons,
     "p4_found": p4_found,
     "p4_term_counts": p4_term_counts,
     "p6_found": p6_found,
