@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import page_body, quality, residue, site_lines, terms
+from heddle.llm import mixing, packing, page_body, quality, residue, site_lines, splitting, terms, tokens
 from heddle.session import read_table, write_stage
 
 _BLANKS = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(160)"
@@ -84,6 +84,30 @@ _LINES = """
     often AS (SELECT source, norm FROM long GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 4),
     cases AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM long JOIN often USING (source, norm))"""
 
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return write_stage(tokens.sized(read_table(spark, sf, "documents").select("doc_id", "source", "text")), "sizes")
+
+
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_all(_sizes(spark, sf), read_table(spark, sf, "size_limits"))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.report(p8_pack(spark, sf))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf), read_table(spark, sf, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf), read_table(spark, sf, "mix_targets"))[1]
+
+
+def p10_split(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split_documents(read_table(spark, sf, "documents").select("doc_id", "text"), read_table(spark, sf, "size_limits"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_profiles": p1_profiles,
@@ -97,6 +121,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_term_weights": p6_term_weights,
     "p7_found": p7_found,
     "p7_cleaned": p7_cleaned,
+    "p8_pack": p8_pack,
+    "p8_fill": p8_fill,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_split": p10_split,
 }
 
 SQL: dict[str, str] = {
