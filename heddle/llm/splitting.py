@@ -21,6 +21,7 @@ KINDS = ("character", "word", "sentence", "line", "paragraph")
 #: Pieces this close to the limit are encoded again by themselves.
 NEAR = 2
 
+_CLOSING, _STOP, _WIDE = (np.isin(np.arange(256), x) for x in ([34, 39, 41, 93], [33, 46, 63], [0xA6, 0x9D, 0x99]))
 _PIECES = "doc_id bigint, size_tokens bigint, overlap_tokens bigint, piece_no int, first_token bigint, n_tokens bigint, boundary string, piece string"
 
 
@@ -38,23 +39,22 @@ def strengths(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     solid = np.maximum.accumulate(np.where(~blank & ~newline, index, -1)) if n else index
     lines = np.append(0, np.cumsum(newline))
     out = np.zeros(len(at), np.int8)
-    out[np.isin(at, [0, n])] = 4
+    out[(at == 0) | (at == n)] = 4
     inner = np.flatnonzero((at > 0) & (at < n))
     p = at[inner]
     before = p - 1
     ended = newline[np.maximum(last[before], 0)] & (last[before] >= 0)
     since = lines[p] - lines[np.maximum(solid[before], 0)]  # line ends since the last letter before
     end = solid[before]
-    closing = np.isin(data, np.frombuffer(b"\"')]", np.uint8))
-    stop = np.isin(data, np.frombuffer(b".!?", np.uint8))
-    mark = np.where(closing[np.maximum(end, 0)] & (end > 0), np.maximum(end - 1, 0), np.maximum(end, 0))
+    mark = np.maximum(end, 0)
+    mark = np.where(_CLOSING[data[mark]] & (end > 0), mark - 1, mark)
     gap = blank[before] | newline[before]
     next_gap = blank[p] | newline[p]
     word = gap | next_gap
     kind = np.where(word, 1, 0)
     # the typographic ellipsis and closing quotes end in one of these bytes after 0xE2 0x80
-    wide = (end >= 2) & (data[np.maximum(end - 2, 0)] == 0xE2) & (data[np.maximum(end - 1, 0)] == 0x80) & np.isin(data[np.maximum(end, 0)], [0xA6, 0x9D, 0x99])
-    kind = np.where(word & (end >= 0) & (stop[mark] | wide), 2, kind)
+    wide = (end >= 2) & (data[np.maximum(end - 2, 0)] == 0xE2) & (data[np.maximum(end - 1, 0)] == 0x80) & _WIDE[data[np.maximum(end, 0)]]
+    kind = np.where(word & (end >= 0) & (_STOP[data[mark]] | wide), 2, kind)
     kind = np.where(ended, np.where(since >= 2, 4, 3), kind)
     kind = np.where((data[p] & 0xC0) == 0x80, -1, kind)
     out[inner] = kind
@@ -91,28 +91,33 @@ def cuts(kind: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
     return [(int(b), int(end[b])) for b in starts]
 
 
-def split_text(text: str, size: int, overlap: int, path: str | None = None, tokens: list[int] | None = None) -> list[tuple[int, int, str, str]]:
-    """Pieces (first token, tokens, boundary, text) of a text over ``size`` tokens; [] for others.
+class Boundaries:
+    """A text's bytes, tokens and the strength of each boundary between them."""
 
-    No piece has more tokens than ``size`` when it is encoded by itself; where the encoding around a cut differs from that of the whole text
-    the text is cut again a little shorter.
-    """
-    enc, sizes = encoding(path), token_bytes(path)
-    text = clean(text)
-    tokens = enc.encode_ordinary(text) if tokens is None else tokens
-    if len(tokens) <= size:
-        return []
-    raw = text.encode()
-    at = np.append(0, np.cumsum(sizes[np.array(tokens, np.int64)]))
-    kind = strengths(np.frombuffer(raw, np.uint8), at)
-    for less in (0, 4, 16, 64, size // 2):
-        if less and size - less <= overlap + 1:
-            break
-        pieces = [(b, e, raw[at[b] : at[e]]) for b, e in cuts(kind, size - less, overlap)]
-        near = [x.decode("utf-8", "replace") for b, e, x in pieces if e - b >= size - NEAR]
-        if all(len(x) <= size for x in enc.encode_ordinary_batch(near, num_threads=1)):
-            break
-    return [(b, e - b, KINDS[max(0, kind[e])], x.decode("utf-8", "replace")) for b, e, x in pieces]
+    def __init__(self, text: str, path: str | None = None, tokens: list[int] | None = None):
+        self.enc = encoding(path)
+        text = clean(text)
+        tokens = self.enc.encode_ordinary(text) if tokens is None else tokens
+        self.raw = text.encode()
+        self.at = np.append(0, np.cumsum(token_bytes(path)[np.array(tokens, np.int64)]))
+        self.kind = strengths(np.frombuffer(self.raw, np.uint8), self.at)
+
+    def pieces(self, size: int, overlap: int) -> list[tuple[int, int, str, str]]:
+        """Pieces (first token, tokens, boundary, text) if the text is over ``size`` tokens, else none.
+
+        No piece has more tokens than ``size`` when it is encoded by itself; where the encoding around a cut differs
+        from that of the whole text, the text is cut again a little shorter.
+        """
+        if len(self.kind) - 1 <= size:
+            return []
+        at = self.at.tolist()
+        for less in (0, 4, 16, 64, size // 2):
+            if less and size - less <= overlap + 1:
+                break
+            cut = [(b, e, self.raw[at[b] : at[e]].decode("utf-8", "replace")) for b, e in cuts(self.kind, size - less, overlap)]
+            if all(len(self.enc.encode_ordinary(x)) <= size for b, e, x in cut if e - b >= size - NEAR):
+                break
+        return [(b, e - b, KINDS[max(0, self.kind[e])], x) for b, e, x in cut]
 
 
 def _splitter(limits: list[tuple[int, int]], path: str | None):
@@ -124,8 +129,10 @@ def _splitter(limits: list[tuple[int, int]], path: str | None):
                 texts = [clean(x) for x in batch.column(1).slice(at, STEP // 5).to_pylist()]
                 rows: list[tuple] = []
                 for doc_id, text, tokens in zip(ids, texts, enc.encode_ordinary_batch(texts, num_threads=1)):
-                    for size, overlap in limits:
-                        rows += [(doc_id, size, overlap, k, *piece) for k, piece in enumerate(split_text(text, size, overlap, path, tokens))]
+                    over = [x for x in limits if len(tokens) > x[0]]
+                    text_cuts = Boundaries(text, path, tokens) if over else None
+                    for size, overlap in over:
+                        rows += [(doc_id, size, overlap, k, *piece) for k, piece in enumerate(text_cuts.pieces(size, overlap))]
                 columns = list(zip(*rows)) if rows else [()] * 8
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "size_tokens", "overlap_tokens", "piece_no", "first_token", "n_tokens", "boundary", "piece"])
