@@ -34,6 +34,8 @@ from heddle.session import write_stage
 BROADCAST_ROWS = 1 << 20
 #: Share of a repeated line's places at which a new headline-like unit follows, from which it is a heading over links.
 HEADING_SHARE = 0.6
+#: Share of a host's pages below which a repeated unit may be chance.
+LEAST_SHARE = 0.0005
 
 _HEADLINE, _SENTENCE, _SHORT, _TEASER, _LEAD = 1, 2, 4, 8, 16
 _DIGITS = re.compile(r"\d+")
@@ -44,8 +46,8 @@ _END = re.compile(r"[.!?…][\"”»’')\]]*\s*$")
 _NUMBERED = re.compile(r"\s*\d{1,3}[.)]\s")
 _HEAD_COLON = re.compile(r"\s*[^:.!?]{5,80}: \S")
 _HOST = re.compile(r"\s*([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)")
-_PAGE = "rec_id bigint, page bigint, line_no array<int>, flags array<int>, n_units array<int>, units array<bigint>"
-_PAGE_ARROW = pa.schema([("rec_id", pa.int64()), ("page", pa.int64()), ("line_no", pa.list_(pa.int32())), ("flags", pa.list_(pa.int32())), ("n_units", pa.list_(pa.int32())), ("units", pa.list_(pa.int64()))])
+_PAGE = "rec_id bigint, host bigint, page bigint, line_no array<int>, flags array<int>, n_units array<int>, units array<bigint>"
+_PAGE_ARROW = pa.schema([("rec_id", pa.int64()), ("host", pa.int64()), ("page", pa.int64()), ("line_no", pa.list_(pa.int32())), ("flags", pa.list_(pa.int32())), ("n_units", pa.list_(pa.int32())), ("units", pa.list_(pa.int64()))])
 
 
 def _words(text: str) -> str:
@@ -56,8 +58,8 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def read_page(url: str | None, title: str | None, content: str | None) -> tuple[int, list[int], list[int], list[int], list[int]]:
-    """The page's fingerprint, and of its lines that hold letters or digits: number, flags, number of units, units."""
+def read_page(url: str | None, title: str | None, content: str | None) -> tuple[int, int, list[int], list[int], list[int], list[int]]:
+    """Fingerprints of host and page, and of its lines that hold letters or digits: number, flags, number of units, units."""
     m = _HOST.match(url or "")
     host, path = (m[1] or "").lower(), m[2].rstrip("/\n ")
     salt = xxhash.xxh3_64_intdigest(host)
@@ -96,7 +98,7 @@ def read_page(url: str | None, title: str | None, content: str | None) -> tuple[
         flags.append(flag)
         n_units.append(len(own))
         units.extend(own)
-    return _signed(digest(path, salt)), numbers, flags, n_units, units
+    return _signed(salt), _signed(digest(path, salt)), numbers, flags, n_units, units
 
 
 def _spells(slug: str, words: str) -> bool:
@@ -113,13 +115,18 @@ def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             rows = [read_page(*x) for x in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), *(pa.array([r[k] for r in rows], type=_PAGE_ARROW.field(k + 1).type) for k in range(5))], schema=_PAGE_ARROW)
+            yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), *(pa.array([r[k] for r in rows], type=_PAGE_ARROW.field(k + 1).type) for k in range(6))], schema=_PAGE_ARROW)
 
 
 def _repeated(pages: DataFrame, least_pages: int) -> DataFrame:
-    """(unit): fingerprints on at least ``least_pages`` distinct pages; partial counts before each shuffle."""
-    places = pages.select("page", F.explode(F.array_distinct("units")).alias("unit")).distinct()
-    return places.groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).select("unit")
+    """(unit): fingerprints on at least ``least_pages`` distinct pages and ``LEAST_SHARE`` of their host's pages.
+
+    Partial counts go before each shuffle; only units that pass the first condition meet the hosts' counts.
+    """
+    places = pages.select("host", "page", F.explode(F.array_distinct("units")).alias("unit")).distinct()
+    often = places.groupBy("host", "unit").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    hosts = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    return often.join(hosts, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("unit")
 
 
 def marked(pages: DataFrame, found: DataFrame, name: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -148,17 +155,21 @@ def marked(pages: DataFrame, found: DataFrame, name: str, broadcast_rows: int =
     return pages.join(hits, "rec_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<int>")))
 
 
-def _lines(row: dict) -> Iterator[tuple[int, int, bool, int]]:
-    """Of each line: number, flags, whether it is repeated furniture, place of its first unit."""
+_WHOLE, _PART = 1, 2
+
+
+def _lines(row: dict) -> Iterator[tuple[int, int, int, int]]:
+    """Of each line: number, flags, whether it is repeated furniture (whole, or in part next to something new), place of its first unit."""
     hits, at = set(row["repeated"]), 0
     for number, flag, n in zip(row["line_no"], row["flags"], row["n_units"]):
         has_lead = 1 if flag & _LEAD else 0
         items = n - 1 - has_lead
-        repeated = at in hits and not (flag & _SHORT and flag & _SENTENCE)
+        repeated = _WHOLE if at in hits and not (flag & _SHORT and flag & _SENTENCE) else 0
         if not repeated and has_lead and at + 1 in hits:
-            repeated = True
+            repeated = _PART
         if not repeated and items > 1:
-            repeated = 2 * sum(k in hits for k in range(at + 1 + has_lead, at + n)) >= items
+            known = sum(k in hits for k in range(at + 1 + has_lead, at + n))
+            repeated = _WHOLE if known == items else _PART if 2 * known >= items else 0
         yield number, flag, repeated, at
         at += n
 
@@ -189,7 +200,9 @@ def _outside_body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if flag & _HEADLINE:
                     under = False
                     continue
-                if repeated:
+                if repeated == _PART and under:  # a link with the section or reading time that others have as well
+                    outside = True
+                elif repeated:
                     under = at in heads
                     outside = True
                 else:

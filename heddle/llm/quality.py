@@ -1,7 +1,8 @@
 """Per-document text statistics that tell prose from lists, tables and junk.
 
 Every statistic gets one mergeable quantile sketch per language; a document's values become percentiles and robust
-z-scores against its language's median and quartiles, and the upper tails are flagged. Next to the usual figures
+z-scores against its language's median and lower quartile - the upper tail itself, up to half of a language, does not
+widen the spread it is measured by -, and the upper tails are flagged. Next to the usual figures
 (words, word length, symbols, line ends, common words) three shares carry the decision:
 
 * ``entry_share``: characters in lines of entries, values or characters against those in lines of sentences, judged
@@ -349,7 +350,7 @@ def profiles(measured: DataFrame) -> DataFrame:
     q = lambda s, p: F.kll_sketch_get_quantile_double(F.col(f"_{s}"), F.lit(p))
     points = F.lit([k / 100 for k in range(101)])
     steps = [F.kll_sketch_get_quantile_double(F.col(f"_{s}"), points).alias(f"_{s}") for s in STATISTICS]
-    marks = small.select("lang", *steps, *[q(s, 0.5).alias(f"_{s}_mid") for s in STATISTICS], *[((q(s, 0.75) - q(s, 0.25)) / 1.349).alias(f"_{s}_dev") for s in STATISTICS])
+    marks = small.select("lang", *steps, *[q(s, 0.5).alias(f"_{s}_mid") for s in STATISTICS], *[((q(s, 0.5) - q(s, 0.25)) / 0.6745).alias(f"_{s}_dev") for s in STATISTICS])
     joined = measured.join(F.broadcast(marks), "lang")  # at most one row for each of 26^2 + 26^3 + 1 languages
     z = {s: (F.col(s) - F.col(f"_{s}_mid")) / F.greatest(F.col(f"_{s}_dev"), F.lit(LEAST_SCALE)) for s in STATISTICS}
     tail = F.lit(False)

@@ -45,7 +45,7 @@ SLOTS = [
     r"\[[\w ]{0,40}\bhere\]",
     r"<[a-z]+(?:_[a-z]+)+>",
     r"\[object object\]",
-    r"(?<![\w-])x{4,}(?![\w-])",
+    r"(?<![\w-])x{4,12}(?![\w-])",
     r"\b(?:title|headline|caption|name|quote|author|date|price|subtitle) tk\b",
     r"\b(?:dear|hello|hi|by|for|in|from|of|met|with|at|to|price|name|author|request:|name:|price:|author:|date:) (?:undefined|null|nan)(?=[\s,.;:!)]|$)",
     r"\b(?:text|title|content|copy|caption|description|headline|image|quote|name|paragraph|body) goes here\b",
