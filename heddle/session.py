@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_STAGES: dict[str, list[str]] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +44,22 @@ def write_stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"stage-{name}-{uuid.uuid4().hex}")
+    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Deletes the stages that this application has written so far, and returns their number.
+
+    To be called when no result that rests on them is needed any more; a long-running service does so between jobs.
+    """
+    jvm = spark.sparkContext._jvm
+    paths = _STAGES.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
