@@ -26,25 +26,26 @@ SHARE_ROWS = 50_000
 
 
 def _best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The container content of greatest value: an unbounded knapsack over the rounded sizes."""
+    """The container content of greatest value: an unbounded knapsack over the rounded sizes.
+
+    Size by size, rooms are improved in stretches as long as the size, each from the one before; sizes are over a share
+    of the capacity, so that these are few.
+    """
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        fits = sizes <= room
-        best[room], last[room] = best[room - 1], -1
-        if fits.any():
-            worth = np.where(fits, values + best[np.maximum(room - sizes, 0)], -1.0)
-            k = int(worth.argmax())
-            if worth[k] > best[room] + 1e-12:
-                best[room], last[room] = worth[k], k
+    for k in np.flatnonzero(values > 1e-12):
+        s = int(sizes[k])
+        for at in range(s, capacity + 1, s):
+            to = min(at + s, capacity + 1)
+            worth = best[at - s : to - s] + values[k]
+            better = worth > best[at:to] + 1e-12
+            best[at:to][better] = worth[better]
+            last[at:to][better] = k
     pattern, room = np.zeros(len(sizes)), capacity
-    while room > 0:
+    while last[room] >= 0:
         k = last[room]
-        if k < 0:
-            room -= 1
-        else:
-            pattern[k] += 1
-            room -= int(sizes[k])
-    return float(best[capacity]), pattern
+        pattern[k] += 1
+        room -= int(sizes[k])
+    return float(values @ pattern), pattern
 
 
 def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 200) -> list[tuple[np.ndarray, int]]:

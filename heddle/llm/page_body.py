@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddle.session import write_stage
+from heddle.session import spread, write_stage
 
 #: Repeated fingerprints that may be sent to all executors (8 bytes each); beyond, a shuffled join marks the units.
 BROADCAST_ROWS = 1 << 20
@@ -222,7 +222,7 @@ def lines_outside_body(store: DataFrame, least_pages: int = 3, broadcast_rows: i
     at the newline character. A page with neither repeated lines nor links is all body.
     """
     rows = store.where("rec_id IS NOT NULL AND content IS NOT NULL").select(F.col("rec_id").cast("bigint").alias("rec_id"), "url", "title", "content")
-    pages = write_stage(rows.mapInArrow(_read_pages, _PAGE), "pages")
+    pages = write_stage(spread(rows).mapInArrow(_read_pages, _PAGE), "pages")
     repeated = marked(pages, _repeated(pages, least_pages), "repeated", broadcast_rows)
     after = repeated.mapInArrow(_followers, "unit bigint, n bigint, new bigint").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("new").alias("new"))
     headings = after.where((F.col("n") >= least_pages) & (F.col("new") >= HEADING_SHARE * F.col("n"))).select("unit")

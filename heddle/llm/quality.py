@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm import residue
-from heddle.session import write_stage
+from heddle.session import spread, write_stage
 
 #: Least share of documents of a kept word, pair or line; words need twice this share.
 KEEP_SHARE, KEEP_LEAST = 0.0005, 4
@@ -329,6 +329,7 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
         raise ValueError("common_words is meant to hold the frequent words of each language, at most 100000")
     common = frozenset(words)
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), language(F.col("lang")).alias("lang"), "title", "text")
+    rows = spread(rows)
     counts = rows.where("text IS NOT NULL AND length(trim(text)) > 0").select("text").mapInArrow(_counter(common), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     counts = write_stage(counts.where(F.col("n") >= KEEP_LEAST), "keys")
     documents = counts.where("key = 0").agg(F.max("n")).first()[0] or 0

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.session import write_stage
+from heddle.session import spread, write_stage
 
 # Words of the usual filler text.
 FILLER_WORDS = frozenset(
@@ -234,7 +234,7 @@ def residue(docs: DataFrame, least_hosts: int = 2, least_documents: int = 4) ->
     sentences occur in ``least_documents`` documents of ``least_hosts`` hosts.
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "url", "title", "source", "text")
-    found = write_stage(rows.mapInArrow(_evidence, "doc_id bigint, host bigint, strong boolean, weak boolean, parts array<bigint>").where("strong OR weak"), "residue")
+    found = write_stage(spread(rows).mapInArrow(_evidence, "doc_id bigint, host bigint, strong boolean, weak boolean, parts array<bigint>").where("strong OR weak"), "residue")
     parts = found.where("weak").select("doc_id", "host", F.explode("parts").alias("part"))
     common = parts.groupBy("part").agg(F.count_distinct("doc_id").alias("d"), F.count_distinct("host").alias("h")).where((F.col("d") >= least_documents) & (F.col("h") >= least_hosts)).select("part", F.lit(1).alias("common"))
     doubled = parts.join(common, "part", "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count("common").alias("c")).where("n = c").select("doc_id", F.lit("duplicate").alias("reason"))

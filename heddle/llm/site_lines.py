@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.session import write_stage
+from heddle.session import spread, write_stage
 
 WINDOW, CUT_BITS = 16, 6
 #: Bytes hashed at once; a longer single text is hashed whole.
@@ -113,7 +113,7 @@ def chunked_lines(docs: DataFrame, least_letters: int = 20) -> DataFrame:
     source = source_key(F.col("source"))
     # trailing newline: one per text, so that every line has an end
     ready = docs.where("text IS NOT NULL AND doc_id IS NOT NULL AND source IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(source).alias("salt"), F.concat(normal_text(F.col("text")), F.lit("\n")).alias("t"))
-    return ready.mapInArrow(_chunker(least_letters), "doc_id bigint, line_no int, letters int, line_a bigint, line_b bigint, chunks array<bigint>")
+    return spread(ready).mapInArrow(_chunker(least_letters), "doc_id bigint, line_no int, letters int, line_a bigint, line_b bigint, chunks array<bigint>")
 
 
 def _in_documents(rows: DataFrame, keys: list[str], least: int) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.tokens import STEP, clean, encoding, token_bytes
+from heddle.session import spread
 
 KINDS = ("character", "word", "sentence", "line", "paragraph")
 #: Pieces this close to the limit are encoded again by themselves.
@@ -151,4 +152,4 @@ def split_documents(docs: DataFrame, limits: DataFrame, path: str | None = None)
     rows = limits.where("lower(trim(purpose)) = 'split' AND size_tokens > 1").select("size_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("o")).distinct().limit(1000).collect()  # a table by hand
     pairs = sorted({(int(r[0]), max(0, min(int(r[1]), int(r[0]) // 2 - 1))) for r in rows})
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return texts.mapInArrow(_splitter(pairs, path), _PIECES)
+    return spread(texts).mapInArrow(_splitter(pairs, path), _PIECES)

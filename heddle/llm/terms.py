@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.session import write_stage
+from heddle.session import spread, write_stage
 
 #: Records of one block: bounds what the scan holds at once.
 BLOCK = 1 << 16
@@ -98,7 +98,7 @@ def posting_runs(index: DataFrame, keep_pairs: bool = True) -> DataFrame:
     are left out; null record ids are left out; of a pair stored more than once the greatest frequency counts and a
     missing frequency is 1. A term has several rows where its records fall into several blocks.
     """
-    rows = _blocked(index).repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+    rows = _blocked(spread(index.select("term", "doc_ids", "frequencies"))).repartitionByRange("term", "block").sortWithinPartitions("term", "block")
     return rows.mapInArrow(_scan(keep_pairs), "term string, block bigint, n bigint, occurrences bigint, doc_ids array<bigint>, freqs array<int>")
 
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.session import spread
+
 #: Texts encoded at once.
 STEP = 500
 
@@ -66,4 +68,4 @@ def sized(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "source", "n_tokens"])
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
-    return rows.mapInArrow(count, "doc_id bigint, source string, n_tokens bigint")
+    return spread(rows).mapInArrow(count, "doc_id bigint, source string, n_tokens bigint")
