@@ -37,7 +37,8 @@ def is_filtered(word: Column) -> Column:
     return word.isin(*STOP_WORDS) | word.startswith("http") | word.rlike("^[0-9]+$")
 
 
-def _token(match: Column) -> Column:
+def token(match: Column) -> Column:
+    """The token of a match, null if it is dropped."""
     tag = F.lower(F.regexp_extract(match, "^#([A-Za-z0-9_]*)", 1))
     word = F.lower(match)
     kept = F.regexp_replace(word, "'+$", "")
@@ -47,7 +48,7 @@ def _token(match: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """The tokens of a text in order; an empty array for a null text."""
-    return F.coalesce(F.filter(F.transform(matches(text), _token), lambda t: t.isNotNull()), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(matches(text), token), lambda t: t.isNotNull()), F.array().cast("array<string>"))
 
 
 def hashtags(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import stemmer, tokenizer
 from heddle.operators.numbering import with_ordinal
-from heddle.session import write_stage
+from heddle.session import spread, write_stage
 
 UNTITLED = "Untitled Document"
 
@@ -26,8 +26,13 @@ def document_rows(docs: DataFrame) -> DataFrame:
 
 
 def document_tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, token, tf): counts of the unstemmed tokens of each document."""
-    return docs.select("doc_id", F.explode(tokenizer.tokens(F.col("content"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+    """(doc_id, token, tf): counts of the unstemmed tokens of each document.
+
+    Matches are counted as they stand, and made tokens afterwards: once for each different match of a document.
+    """
+    found = spread(docs.select("doc_id", "content")).select("doc_id", F.explode(tokenizer.matches(F.col("content"))).alias("m"))
+    counts = found.groupBy("doc_id", "m").agg(F.count("*").alias("n"))
+    return counts.select("doc_id", tokenizer.token(F.col("m")).alias("token"), "n").where("token IS NOT NULL").groupBy("doc_id", "token").agg(F.sum("n").alias("tf"))
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:
@@ -36,8 +41,12 @@ def vocabulary(counts: DataFrame) -> DataFrame:
 
 
 def postings(counts: DataFrame) -> DataFrame:
-    """(term, doc_id, tf) over stems of 2 to 50 characters."""
-    stems = vocabulary(counts).where(F.length("stem").between(tokenizer.MIN_LENGTH, tokenizer.MAX_LENGTH))
+    """(term, doc_id, tf) over stems of 2 to 50 characters.
+
+    The stemmed vocabulary is written before it is filtered: the condition on the stem would otherwise be pushed below
+    the join, and every count would be stemmed.
+    """
+    stems = write_stage(vocabulary(counts), "vocabulary").where(F.length("stem").between(tokenizer.MIN_LENGTH, tokenizer.MAX_LENGTH))
     return counts.join(stems, "token").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.sum("tf").alias("tf"))
 
 
@@ -87,7 +96,8 @@ class Index:
 def build_index(documents: DataFrame) -> Index:
     """The index of a document table; doc_id is the position in order of the documents' key. Missing texts count as empty."""
     docs = with_ordinal(document_rows(documents), [F.col("key")], "doc_id")
-    posted = write_stage(postings(document_tokens(docs)), "postings")
+    counts = write_stage(document_tokens(docs), "counts")  # read twice: for the vocabulary and for the postings
+    posted = write_stage(postings(counts), "postings")
     lengths = posted.groupBy("doc_id").agg(F.count("*").alias("doc_length"))
     forward = docs.select("doc_id", "id", "url", "title").join(lengths, "doc_id", "left")
     return Index(forward.select("doc_id", "id", "url", "title", F.coalesce("doc_length", F.lit(0)).alias("doc_length"), F.col("doc_id").alias("checksum")), posted)

@@ -97,7 +97,7 @@ _add("stem_vocabulary", lambda s, p: vocabulary(_counts(s, p)), f"WITH {_VOC} SE
 _add("measure", lambda s, p: vocabulary(_counts(s, p)).select("token", stemmer.measure(F.col("token")).cast("bigint").alias("measure")), f"WITH {_VOC} SELECT token, CAST(len(regexp_extract_all(token, '[aeiou]+')) AS BIGINT) AS measure FROM voc")
 _add(
     "normalize_index_terms",
-    lambda s, p: vocabulary(_counts(s, p)).where(F.length("stem").between(2, 50)).groupBy("stem").agg(F.count("*").alias("tokens")).withColumnRenamed("stem", "term"),
+    lambda s, p: write_stage(vocabulary(_counts(s, p)), "vocabulary").where(F.length("stem").between(2, 50)).groupBy("stem").agg(F.count("*").alias("tokens")).withColumnRenamed("stem", "term"),
     f"WITH {_VOC} SELECT stem AS term, count(*) AS tokens FROM stems WHERE length(stem) BETWEEN 2 AND 50 GROUP BY 1",
 )
 _add("word_count", lambda s, p: _rows(s, p).select("doc_id", text.word_count(F.col("content")).cast("bigint").alias("words")), f"WITH {_D} SELECT doc_id, CAST(len(regexp_extract_all(content, '[^ \\t\\n\\r\\f\\v]+')) AS BIGINT) AS words FROM d")

@@ -19,6 +19,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files have so few splits that at least half of the cores would idle.
+
+    Only small inputs are that; a large one keeps its splits and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written stages that every executor can reach.
 
