@@ -33,14 +33,35 @@ def clean_term(term: Column) -> Column:
 
 
 def _blocked(index: DataFrame) -> DataFrame:
-    """Rows (term, block, doc_ids, freqs), still unsorted: each index row is cut at block borders."""
-    # arrays_zip pads the shorter array with nulls; a missing frequency counts as 1
-    pairs = F.filter(F.arrays_zip(F.col("doc_ids").alias("d"), F.coalesce("frequencies", F.array().cast("array<int>")).alias("f")), lambda x: x["d"].isNotNull())
-    rows = index.select(clean_term(F.col("term")).alias("term"), pairs.alias("p")).where(F.col("term").isNotNull() & (F.size("p") > 0))
-    block = lambda x: F.floor(x["d"] / F.lit(BLOCK)).cast("bigint")
-    rows = rows.select("term", "p", F.explode(F.array_distinct(F.transform("p", block))).alias("block"))
-    inside = F.filter("p", lambda x: block(x) == F.col("block"))
-    return rows.select("term", "block", F.transform(inside, lambda x: x["d"]).alias("doc_ids"), F.transform(inside, lambda x: F.coalesce(x["f"], F.lit(1)).cast("int")).alias("freqs"))
+    """Rows (term, block, doc_ids, freqs), still unsorted: index rows over several blocks are cut at the borders.
+
+    Most rows lie in one block and keep their arrays as they are; nulls are left to the scan.
+    """
+    block = lambda d: F.floor(d / F.lit(BLOCK)).cast("bigint")
+    rows = index.select(clean_term(F.col("term")).alias("term"), "doc_ids", F.col("frequencies").cast("array<int>").alias("f"), block(F.array_min("doc_ids")).alias("lo"), block(F.array_max("doc_ids")).alias("hi"))
+    rows = rows.where(F.col("term").isNotNull() & F.col("hi").isNotNull())
+    piece = lambda b, d, f: F.struct(b.alias("block"), d.alias("doc_ids"), f.alias("freqs"))
+    # arrays_zip pads the shorter array with nulls
+    pairs = F.filter(F.arrays_zip(F.col("doc_ids").alias("d"), F.coalesce("f", F.array().cast("array<int>")).alias("f")), lambda x: x["d"].isNotNull())
+    inside = lambda b: F.filter(pairs, lambda x: block(x["d"]) == b)
+    cut = F.transform(F.array_distinct(F.transform(pairs, lambda x: block(x["d"]))), lambda b: piece(b, F.transform(inside(b), lambda x: x["d"]), F.transform(inside(b), lambda x: x["f"])))
+    return rows.select("term", F.inline(F.when(F.col("lo") == F.col("hi"), F.array(piece(F.col("lo"), F.col("doc_ids"), F.col("f")))).otherwise(cut)))
+
+
+def _pairs(docs: pa.ListArray, freqs: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, record, frequency) of each record that is not null; a frequency that is missing or null is 1."""
+    n, m = (x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (docs, freqs))
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    there = place < m[row]
+    given = freqs.flatten().fill_null(1).to_numpy(zero_copy_only=False).astype(np.int64)
+    f = np.ones(len(row), np.int64)
+    f[there] = given[((np.cumsum(m) - m)[row] + place)[there]]
+    flat = docs.flatten()
+    if flat.null_count:
+        good = flat.is_valid().to_numpy(zero_copy_only=False)
+        return row[good], flat.drop_null().to_numpy(zero_copy_only=False), f[good]
+    return row, flat.to_numpy(zero_copy_only=False), f
 
 
 def _scan(keep_pairs: bool):
@@ -84,9 +105,8 @@ def _scan(keep_pairs: bool):
 
     def closed(table: pa.Table, terms: pa.Array, blocks: np.ndarray, head: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(head[: table.num_rows]) - 1
-        docs = table["doc_ids"].combine_chunks()
-        sizes = docs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        yield merged(terms, blocks, np.repeat(group, sizes), docs.flatten().to_numpy(zero_copy_only=False), table["freqs"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64), first)
+        row, docs, freqs = _pairs(table["doc_ids"].combine_chunks(), table["freqs"].combine_chunks())
+        yield merged(terms, blocks, group[row], docs, freqs, first)
 
     return scan
 
