@@ -20,6 +20,8 @@ from heddle.session import write_stage
 
 #: Documents that are balanced at once.
 BLOCK = 20_000
+#: Times the mean length from which a document is decided before the others.
+LONG = 4
 MOST_SOURCES = 100_000
 _EPS = 1e-9
 
@@ -65,11 +67,35 @@ def landing(tokens: list[int], chances: list[float], wanted: float | None = None
     return out
 
 
+def balance(tokens: list[int], chances: list[float], rng: random.Random) -> list[float]:
+    """``flight``, with documents far longer than the mean decided first: what rounding the last of them adds or takes
+    is made up for by the chances of the others, so that no long document is left for the landing."""
+    n = len(tokens)
+    mean = sum(tokens) / max(1, n)
+    long = [k for k in range(n) if tokens[k] > LONG * mean]
+    short = [k for k in range(n) if tokens[k] <= LONG * mean and 0 < chances[k] < 1]
+    room = sum(tokens[k] for k in short)
+    if not long or not room:
+        return flight(tokens, chances, rng)
+    out = list(chances)
+    t = [tokens[k] for k in long]
+    moved = 0.0
+    for k, c in zip(long, landing(t, flight(t, [chances[k] for k in long], rng))):
+        moved += tokens[k] * (c - chances[k])
+        out[k] = c
+    for k in short:
+        out[k] = min(1.0, max(0.0, chances[k] - moved / room))
+    t = [tokens[k] for k in short]
+    for k, c in zip(short, flight(t, [out[k] for k in short], rng)):
+        out[k] = c
+    return out
+
+
 def _balanced(seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "n_tokens", "copy_no"])
         rng = random.Random(f"{seed}/{key[0]}/{key[1]}")
-        rows["chance"] = flight(rows["n_tokens"].tolist(), rows["chance"].tolist(), rng)
+        rows["chance"] = balance(rows["n_tokens"].tolist(), rows["chance"].tolist(), rng)
         return rows
 
     return run

@@ -32,12 +32,14 @@ from heddle.session import spread, write_stage
 
 #: Least share of documents of a kept word, pair or line; words need twice this share.
 KEEP_SHARE, KEEP_LEAST = 0.0005, 4
-#: Scale below which a robust z-score's spread is not taken: 5 of them are half of a share.
-LEAST_SCALE, TAIL_Z = 0.1, 5.0
+#: Scale below which a robust z-score's spread is not taken.
+LEAST_SCALE = 0.1
 #: A language with fewer documents is compared with all languages.
 LEAST_DOCUMENTS = 50
 STATISTICS = ("word_count", "mean_word_length", "symbol_ratio", "line_end_share", "common_share", "entry_share", "strange_share", "repeat_share")
-TAILS = ("entry_share", "strange_share", "repeat_share")
+#: Robust z-scores from which a document is in the tail: half of a share, a little less for strange pairs, of which words at
+#: random make some that are usual by chance.
+TAILS = {"entry_share": 5.0, "strange_share": 4.4, "repeat_share": 5.0}
 
 # Words that make clauses (verbs, pronouns, negations, conjunctions) in five languages.
 CLAUSE_WORDS = frozenset(
@@ -64,8 +66,8 @@ _VALUE_END = re.compile(r"(?:\d|%|[-–]|n/a)\)?$")
 _BREAK = re.compile(r"[\r\n]+")
 _COMMON, _CLAUSE = 2, 4  # low bits of a word's hash: common word, word that makes clauses
 _PAIR = np.int64(0x9E3779B97F4A7C1)
-#: Texts measured at once.
-STEP = 500
+#: Texts and characters measured at once; a longer text is measured by itself.
+STEP, STEP_CHARS = 500, 1 << 22
 
 
 class _Hashes(dict):
@@ -126,14 +128,27 @@ class _Tokens:
         return np.where((self.n >= 5) & short, (key ^ (key >> np.uint64(29))) & ~np.uint64(7) | np.uint64(3), np.uint64(0)).view(np.int64)
 
 
+def _steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Begin and end of stretches of texts that are handled at once."""
+    begin, chars = 0, 0
+    for k, x in enumerate(texts):
+        size = len(x or "")
+        if k > begin and (k - begin == STEP or chars + size > STEP_CHARS):
+            yield begin, k
+            begin, chars = k, 0
+        chars += size
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def _counter(common: frozenset[str]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes(common)
         for batch in batches:
             found = []
-            for at in range(0, batch.num_rows, STEP):
-                texts = [_BREAK.split(x) for x in batch.column(0).slice(at, STEP).to_pylist()]
-                t = _Tokens(texts, hashes)
+            texts = batch.column(0).to_pylist()
+            for begin, end in _steps(texts):
+                t = _Tokens([_BREAK.split(x) for x in texts[begin:end]], hashes)
                 place, pairs = t.pairs()
                 keys = t.keys()
                 key = np.concatenate([t.hash, pairs, keys[keys != 0]])
@@ -299,11 +314,11 @@ def _measure(common: frozenset[str], kept):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profile, cues = _Profile(common, *kept.value), residue.cue_automaton()
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
-                texts = [x or "" for x in part.column("text").to_pylist()]
+            all_texts = [x or "" for x in batch.column("text").to_pylist()]
+            for begin, end in _steps(all_texts):
+                part, texts = batch.slice(begin, end - begin), all_texts[begin:end]
                 values = profile.measure(texts)
-                near = (values[:, tails] > LEAST_SCALE * TAIL_Z / 2).any(axis=1)
+                near = (values[:, tails] > LEAST_SCALE * np.array([*TAILS.values()]) / 2).any(axis=1)
                 left = [residue.has_residue(x, t, cues) if c else None for x, t, c in zip(texts, part.column("title").to_pylist(), near.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *map(pa.array, values.T), pa.array(left, pa.bool_())], names=["doc_id", "lang", *STATISTICS, "residue"])
 
@@ -343,7 +358,7 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
 
 def profiles(measured: DataFrame) -> DataFrame:
     """Adds to rows of ``statistics`` each one's percentile ``<name>_pct`` and robust z-score ``<name>_z`` within the
-    language (all languages where it has few documents), and ``tail``: whether one of ``TAILS`` lies beyond TAIL_Z."""
+    language (all languages where it has few documents), and ``tail``: whether one of ``TAILS`` lies beyond its score."""
     sketches = [F.kll_sketch_agg_double(s, F.lit(200)).alias(s) for s in STATISTICS]
     of_lang = measured.groupBy("lang").agg(F.count("*").alias("_n"), *sketches)
     of_all = measured.agg(*[F.kll_sketch_agg_double(s, F.lit(200)).alias(f"{s}_all") for s in STATISTICS])
@@ -355,8 +370,8 @@ def profiles(measured: DataFrame) -> DataFrame:
     joined = measured.join(F.broadcast(marks), "lang")  # at most one row for each of 26^2 + 26^3 + 1 languages
     z = {s: (F.col(s) - F.col(f"_{s}_mid")) / F.greatest(F.col(f"_{s}_dev"), F.lit(LEAST_SCALE)) for s in STATISTICS}
     tail = F.lit(False)
-    for s in TAILS:
-        tail = tail | (z[s] > TAIL_Z)
+    for s, least in TAILS.items():
+        tail = tail | (z[s] > least)
     pct = lambda s: F.least(F.size(F.filter(f"_{s}", lambda step: step < F.col(s))), F.lit(100)).cast("double")
     return joined.select("doc_id", "lang", *STATISTICS, *[pct(s).alias(f"{s}_pct") for s in STATISTICS], *[z[s].alias(f"{s}_z") for s in STATISTICS], tail.alias("tail"), "residue")
 

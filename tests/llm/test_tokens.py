@@ -121,6 +121,15 @@ def test_flight_keeps_sums():
     assert mixing.flight([5], [0.4], rng) == [0.4] and mixing.flight([], [], rng) == []
 
 
+def test_long_documents_leave_no_gap():
+    for seed in range(30):
+        rng = random.Random(seed)
+        t = [rng.choice([rng.randrange(50, 300)] * 30 + [rng.randrange(8_000, 20_000)]) for _ in range(800)]
+        out = mixing.balance(t, [0.41] * 800, rng)
+        got = sum(a * b for a, b in zip(t, mixing.landing(t, out)))
+        assert abs(got - 0.41 * sum(t)) < 400
+
+
 def test_mix_empty(spark):
     targets = spark.createDataFrame([("a", 0.5, 2)], TARGETS)
     mixed, report = mixing.mix(sizes(spark, []), targets)
