@@ -14,8 +14,18 @@ _LOCAL: dict[str, str] = {}
 _STAGES: dict[str, list[str]] = {}
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers find this package where the driver found it, whatever folder they start in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,6 +34,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     Only small inputs are that; a large one keeps its splits and is not shuffled.
     """
+    importable(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
@@ -52,6 +63,7 @@ def write_stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     This cuts the lineage: a lost executor costs a re-read of files, never a recomputation of the stages before.
     """
     spark = df.sparkSession
+    importable(spark)
     path = os.path.join(shared_dir(spark), f"stage-{name}-{uuid.uuid4().hex}")
     _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write.option("compression", "zstd")
