@@ -116,9 +116,9 @@ TITLES = [
 _SLOT = re.compile("|".join(SLOTS), re.I)
 _NOTICE = re.compile("(?:" + "|".join(NOTICES) + ")", re.I)
 _TITLE = re.compile("(?:" + "|".join(TITLES) + ")$", re.I)
-#: Cheap cues, one of which every text with a slot or notice holds; the patterns run only over texts with a cue.
-CUES = """{{ {% ${ <% [[ {_ [insert [your [enter [add [placeholder [type [title [name [date [author [image [photo [caption [headline
-[quote [brand [price [product [tk [tbd here] [object xxxx undefined null nan goes|here text|here title|here content|here caption|here
+#: Cheap cues, one of which every sentence with a slot or notice holds; the patterns run only over sentences with a cue.
+CUES = """{ [ |tk a|bio short|text short|title short|bio short|caption example|paragraph n't|exist be|found been|moved been|removed
+been|deleted can't|reach cannot|reach is|not was|not disponibile here] xxxx undefined null nan goes|here text|here title|here content|here caption|here
 headline|here to|edit to|add description a|text your|text your|title your|bio a|title a|caption your|caption sample|text sample|copy
 sample|post sample|page sample|content sample|paragraph placeholder dummy filler example|text example|copy example|post example|page
 example|content replace|it replace|this replace|me first|post first|page lorem ipsum tempor eiusmod unavailable denied not|found page|missing
@@ -131,11 +131,16 @@ moment... moment… expired in|again maintenance script cookies active|content n
 unauthorized bad|request gone javascript navigateur introuvable existe trouvée erreur refusé interdit indisponible
 skript nicht|gefunden existiert nicht|verfügbar wurde|verschoben wurde|gelöscht fehler verweigert gesperrt navegador encuentra encontr
 página|no denegado disponible activ habilit attiv abilit trovata esiste spostata rimossa eliminata errore negato % <""".replace("\n", " ").split()
+#: Of cues that are common in prose: what must stand about their last letter, and how many letters before and after are read.
+_NEAR = {
+    "%": (re.compile(r"%[a-z_]{3,}%"), 45, 45),
+    "[": (re.compile(rf"\[(?:\[|\s*(?:{_SLOT_WORD})\b|object object)"), 0, 160),
+    **dict.fromkeys(["is|not", "was|not"], (re.compile(r"not\s?(?:available|found|online|there)"), 2, 14)),
+}
 _WEAK = re.compile(r"\b(?:available|found|loading|expired?|denied|blocked|wrong|error|page|browser|scripts?|server|reload|log ?in|sign in|broken|maintenance|unavailable|session|address|encuentra|página|gefunden|seite|trouv\w+|introuvable|erreur|pagina|trovata|errore|fehler|javascript|cookies)\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"[\r\n]+|(?<=[.!?…])[\"”»’')\]]*\s+")
 _SENTENCE = re.compile(r"[\s\S]+?(?:[.!?…](?=[\"”»’')\]]*\s)[\"”»’')\]]*\s+|[\r\n]+|$)")
-_PERCENT = re.compile(r"%[a-z_]{3,}%")
 _EDGE = re.compile(r"^[\s>*\-–—•·#|\"“«'(]+")
 _MASK = re.compile(r"\d+|\b[^\W\d_]*[A-Z][^\W_]*", re.U)
 _SPACE = re.compile(r"[ \t  ]+")
@@ -148,12 +153,23 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("host", pa.int64()), ("strong", pa.bo
 
 def cue_automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for cue in CUES:
+    for cue in {*CUES, *_FILLER_ONLY}:
         a.add_word(cue.replace("|", " "), cue)
     a.make_automaton()
     return a
 
 
+def _is_cue(low: str, end: int, cue: str) -> bool:
+    """Whether the cue that ends here counts: a filler word as a whole word, others where ``_NEAR`` asks for no more."""
+    if cue in _FILLER_ONLY:
+        begin = end - len(cue)
+        return not (low[end + 1 : end + 2].isalpha() or begin >= 0 and low[begin].isalpha())
+    if cue in _NEAR:
+        pattern, before, after = _NEAR[cue]
+        return pattern.search(low, max(0, end - before), end + after) is not None
+    return True
+
+
 def is_filler(segment: str) -> bool:
     """Whether most words of a segment are those of the usual filler text, at least five of them only used there."""
     words = [w.lower() for w in _WORD.findall(segment)]
@@ -183,7 +199,7 @@ def has_residue(text: str | None, title: str | None = None, automaton: ahocorasi
         plain = low
     done = 0
     for end, cue in automaton.iter(low):
-        if end < done or cue == "%" and not _PERCENT.search(low, max(0, end - 45), end + 45):
+        if end < done or not _is_cue(low, end, cue):
             continue
         start = max(done, low.rfind("\n", 0, end) + 1)
         stop = low.find("\n", end)
