@@ -6,8 +6,9 @@ string of whole units covers just those units that are themselves repeated, so t
 the second shows which repeated units are followed by something new on every page - the headings over links to other
 articles. What then remains of a page is read in order:
 
-* a line is page furniture if its text is repeated on distinct pages of the host, unless it is a sentence of at most
-  three words (such runs are too short to tell);
+* a line is page furniture if its text is repeated on distinct pages of the host; a sentence of at most three words,
+  which an article may hold as well, only if it stands on half of the host's pages, or if it is part of a longer
+  repeated run: on nearly all of its pages next to the same line;
 * or if at least half of its items are repeated (navigation in one line), or its lead-in is;
 * or if it stands under a heading over links and looks like one: a headline without sentence end, with a number in
   front, or followed by a colon and a teaser;
@@ -36,6 +37,9 @@ BROADCAST_ROWS = 1 << 20
 HEADING_SHARE = 0.6
 #: Share of a host's pages below which a repeated unit may be chance.
 LEAST_SHARE = 0.0005
+#: Share of a host's pages from which a sentence of at most three words is furniture wherever it stands, and share of
+#: the sentence's own pages from which the same line next to it makes a repeated run with it.
+SHORT_SHARE, RUN_SHARE = 0.5, 0.8
 
 _HEADLINE, _SENTENCE, _SHORT, _TEASER, _LEAD = 1, 2, 4, 8, 16
 _DIGITS = re.compile(r"\d+")
@@ -46,8 +50,8 @@ _END = re.compile(r"[.!?…][\"”»’')\]]*\s*$")
 _NUMBERED = re.compile(r"\s*\d{1,3}[.)]\s")
 _HEAD_COLON = re.compile(r"\s*[^:.!?]{5,80}: \S")
 _HOST = re.compile(r"\s*([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)")
-_PAGE = "rec_id bigint, host bigint, page bigint, line_no array<int>, flags array<int>, n_units array<int>, units array<bigint>"
-_PAGE_ARROW = pa.schema([("rec_id", pa.int64()), ("host", pa.int64()), ("page", pa.int64()), ("line_no", pa.list_(pa.int32())), ("flags", pa.list_(pa.int32())), ("n_units", pa.list_(pa.int32())), ("units", pa.list_(pa.int64()))])
+_PAGE = "rec_id bigint, host bigint, page bigint, line_no array<int>, flags array<int>, n_units array<int>, units array<bigint>, short array<bigint>, beside array<bigint>"
+_PAGE_ARROW = pa.schema([("rec_id", pa.int64()), ("host", pa.int64()), ("page", pa.int64()), ("line_no", pa.list_(pa.int32())), ("flags", pa.list_(pa.int32())), ("n_units", pa.list_(pa.int32())), ("units", pa.list_(pa.int64())), ("short", pa.list_(pa.int64())), ("beside", pa.list_(pa.int64()))])
 
 
 def _words(text: str) -> str:
@@ -58,12 +62,18 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def _unit(words: str, salt: int) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(words, salt)) & ~1
+
+
 def read_page(url: str | None, title: str | None, content: str | None) -> tuple[int, int, list[int], list[int], list[int], list[int]]:
-    """Fingerprints of host and page, and of its lines that hold letters or digits: number, flags, number of units, units."""
+    """Fingerprints of host and page, and of its lines that hold letters or digits: number, flags, number of units, units.
+
+    Units are even; a sentence of at most three words has its line's fingerprint once more as its last unit, made odd.
+    """
     m = _HOST.match(url or "")
     host, path = (m[1] or "").lower(), m[2].rstrip("/\n ")
     salt = xxhash.xxh3_64_intdigest(host)
-    digest = xxhash.xxh3_64_intdigest
     slug = _words(path.rsplit("/", 1)[-1].replace("-", " ")).strip()
     names = {_words(title).strip()} if title else set()
     numbers, flags, n_units, units = [], [], [], []
@@ -85,20 +95,22 @@ def read_page(url: str | None, title: str | None, content: str | None) -> tuple[
             flag |= _SHORT
         if not end or _NUMBERED.match(line) or _HEAD_COLON.match(line):
             flag |= _TEASER
-        own = [_signed(digest(words, salt))]
+        own = [_unit(words, salt)]
         lead = _LEAD_IN.match(line) if ":" in line else None
         if lead:
             flag |= _LEAD
-            own.append(_signed(digest(":" + _words(lead[1]).strip(), salt)))
+            own.append(_unit(":" + _words(lead[1]).strip(), salt))
         if _SPLIT.search(line.strip()):
             parts = [p for p in (_words(x).strip() for x in _SPLIT.split(line)) if p]
             if len(parts) > 1:
-                own.extend(_signed(digest(p, salt)) for p in parts)
+                own.extend(_unit(p, salt) for p in parts)
+        if flag & _SHORT and flag & _SENTENCE:
+            own.append(own[0] | 1)
         numbers.append(number)
         flags.append(flag)
         n_units.append(len(own))
         units.extend(own)
-    return _signed(salt), _signed(digest(path, salt)), numbers, flags, n_units, units
+    return _signed(salt), _signed(xxhash.xxh3_64_intdigest(path, salt)), numbers, flags, n_units, units
 
 
 def _spells(slug: str, words: str) -> bool:
@@ -109,24 +121,51 @@ def _spells(slug: str, words: str) -> bool:
     return len(words) >= 4 and slug.startswith(words[:45]) and (len(words) >= 45 or len(slug) - len(words) <= 8)
 
 
+def _beside(flags: list[int], n_units: list[int], units: list[int]) -> tuple[list[int], list[int]]:
+    """Of each sentence of at most three words its odd unit, with 0 and with the lines before and after it."""
+    short, beside, first = [], [], []
+    at = 0
+    for n in n_units:
+        first.append(units[at])
+        at += n
+    for k, flag in enumerate(flags):
+        if flag & _SHORT and flag & _SENTENCE:
+            near = [0]
+            if k:
+                near.append(first[k - 1])
+            if k + 1 < len(first):
+                near.append(first[k + 1] | 1)
+            short += [first[k] | 1] * len(near)
+            beside += near
+    return short, beside
+
+
 def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             rows = [read_page(*x) for x in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), *(pa.array([r[k] for r in rows], type=_PAGE_ARROW.field(k + 1).type) for k in range(6))], schema=_PAGE_ARROW)
+            rows = [(*r, *_beside(*r[3:])) for r in rows]
+            yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), *(pa.array([r[k] for r in rows], type=_PAGE_ARROW.field(k + 1).type) for k in range(8))], schema=_PAGE_ARROW)
 
 
 def _repeated(pages: DataFrame, least_pages: int) -> DataFrame:
     """(unit): fingerprints on at least ``least_pages`` distinct pages and ``LEAST_SHARE`` of their host's pages.
 
-    Partial counts go before each shuffle; only units that pass the first condition meet the hosts' counts.
+    Partial counts go before each shuffle; only units that pass the first condition meet the hosts' counts. The odd
+    units of short sentences are decided by ``SHORT_SHARE`` and ``RUN_SHARE`` instead.
     """
-    places = pages.select("host", "page", F.explode(F.array_distinct("units")).alias("unit")).distinct()
+    places = pages.select("host", "page", F.explode(F.array_distinct("units")).alias("unit")).where("unit % 2 = 0").distinct()
     often = places.groupBy("host", "unit").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     hosts = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    return often.join(hosts, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("unit")
+    units = often.join(hosts, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("unit")
+    near = pages.select("host", "page", F.inline(F.arrays_zip("short", "beside"))).distinct().groupBy("host", "short", "beside").agg(F.count("*").alias("n"))
+    own, beside = (F.max(F.when(c, F.col("n"))) for c in (F.col("beside") == 0, F.col("beside") != 0))
+    short = near.groupBy("host", "short").agg(own.alias("n"), F.coalesce(beside, F.lit(0)).alias("together")).where(F.col("n") >= least_pages)
+    on_many = F.col("n") >= SHORT_SHARE * F.col("pages")
+    in_run = (F.col("together") >= least_pages) & (F.col("together") >= RUN_SHARE * F.col("n"))
+    return units.unionByName(short.join(hosts, "host").where(on_many | in_run).select(F.col("short").alias("unit")))
 
 
 def marked(pages: DataFrame, found: DataFrame, name: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -163,12 +202,13 @@ def _lines(row: dict) -> Iterator[tuple[int, int, int, int]]:
     hits, at = set(row["repeated"]), 0
     for number, flag, n in zip(row["line_no"], row["flags"], row["n_units"]):
         has_lead = 1 if flag & _LEAD else 0
-        items = n - 1 - has_lead
-        repeated = _WHOLE if at in hits and not (flag & _SHORT and flag & _SENTENCE) else 0
+        short = 1 if flag & _SHORT and flag & _SENTENCE else 0
+        items = n - 1 - has_lead - short
+        repeated = _WHOLE if at in hits and (not short or at + n - 1 in hits) else 0
         if not repeated and has_lead and at + 1 in hits:
             repeated = _PART
         if not repeated and items > 1:
-            known = sum(k in hits for k in range(at + 1 + has_lead, at + n))
+            known = sum(k in hits for k in range(at + 1 + has_lead, at + n - short))
             repeated = _WHOLE if known == items else _PART if 2 * known >= items else 0
         yield number, flag, repeated, at
         at += n
@@ -223,7 +263,7 @@ def lines_outside_body(store: DataFrame, least_pages: int = 3, broadcast_rows: i
     """
     rows = store.where("rec_id IS NOT NULL AND content IS NOT NULL").select(F.col("rec_id").cast("bigint").alias("rec_id"), "url", "title", "content")
     pages = write_stage(spread(rows).mapInArrow(_read_pages, _PAGE), "pages")
-    repeated = marked(pages, _repeated(pages, least_pages), "repeated", broadcast_rows)
+    repeated = marked(pages.drop("short", "beside"), _repeated(pages, least_pages), "repeated", broadcast_rows)
     after = repeated.mapInArrow(_followers, "unit bigint, n bigint, new bigint").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("new").alias("new"))
     headings = after.where((F.col("n") >= least_pages) & (F.col("new") >= HEADING_SHARE * F.col("n"))).select("unit")
     return marked(repeated, headings, "headings", broadcast_rows).mapInArrow(_outside_body, "rec_id bigint, line_no int").distinct()
