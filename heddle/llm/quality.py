@@ -11,9 +11,11 @@ widen the spread it is measured by -, and the upper tails are flagged. Next to t
   holds: words strung together without making sentences;
 * ``repeat_share``: words that only repeat others.
 
-Known words, usual pairs and page furniture (long lines that many documents share) are counted over all documents. The
-counts that are kept have a document share of at least ``KEEP_SHARE``; a document has a bounded number of different
-words, so these are at most (mean different keys per document) / KEEP_SHARE keys, however large the collection.
+Known words, usual pairs and page furniture (long lines that many documents share) are counted by language, furniture
+also by source; what is kept has a document share of at least ``KEEP_SHARE`` of all documents or of its language's (of
+furniture ``SOURCE_SHARE`` of its source's). A document has a bounded number of different words, so these are for each
+group at most (mean different keys per document) / share keys, however large the collection. A language whose
+documents hold too few known words is not asked for unknown ones.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ from heddle.session import spread, write_stage
 
 #: Least share of documents of a kept word, pair or line; words need twice this share.
 KEEP_SHARE, KEEP_LEAST = 0.0005, 4
+#: Least share and number of a source's documents that hold a line of its furniture.
+SOURCE_SHARE, SOURCE_LEAST = 0.01, 10
+#: Share of a language's different words per document that must be known, for its lines to be judged by unknown words.
+LEAST_KNOWN = 0.3
 #: Scale below which a robust z-score's spread is not taken.
 LEAST_SCALE = 0.1
 #: A language with fewer documents is compared with all languages.
@@ -141,37 +147,65 @@ def _steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def _group(name: str | None) -> int:
+    """A language's or source's number, which leaves a key's low bits as they are; 0 without a name."""
+    h = xxhash.xxh3_64_intdigest(name) & ~7 if name else 0
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+#: Keys of a group's number of documents and of their different words.
+_DOCUMENTS, _WORDS = 0, 8
+
+
 def _counter(common: frozenset[str]):
+    """(group, key, n): documents with a key, by language (even groups); lines also by source (odd groups)."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes(common)
         for batch in batches:
             found = []
             texts = batch.column(0).to_pylist()
+            groups = np.array([_group(x) for x in batch.column(1).to_pylist()], np.int64)
+            sources = np.array([_group(x) | 1 for x in batch.column(2).to_pylist()], np.int64)
             for begin, end in _steps(texts):
-                t = _Tokens([_BREAK.split(x) for x in texts[begin:end]], hashes)
+                by_lang = begin + np.argsort(groups[begin:end], kind="stable")  # texts of a language come together
+                lang, source = groups[by_lang], sources[by_lang]
+                t = _Tokens([_BREAK.split(texts[k]) for k in by_lang.tolist()], hashes)
                 place, pairs = t.pairs()
                 keys = t.keys()
-                key = np.concatenate([t.hash, pairs, keys[keys != 0]])
-                of = np.concatenate([t.of, t.of[place], t.doc[keys != 0]])
-                # sorted by key with the text in the place of the lowest bits it needs, equal (key, text) come together
+                lines, line_of = keys[keys != 0], t.doc[keys != 0]
+                key = np.concatenate([t.hash, pairs, lines])
+                of = np.concatenate([t.of, t.of[place], line_of])
+                # sorted by key and text, equal (key, text) come together
                 order = np.lexsort((of, key))
                 key, of = key[order], of[order]
                 first = np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])) if len(key) else np.zeros(0, bool)
-                key = key[first]
-                head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-                found.append((key[head], np.diff(np.append(head, len(key)))))
+                key, of = key[first], of[first]
+                found.append(_runs(lang[of], key))
+                found.append((lang, np.full(len(lang), _DOCUMENTS), np.ones(len(lang), np.int64)))
+                found.append((lang, np.full(len(lang), _WORDS), np.bincount(of[(key & 1) == 0], minlength=len(lang))))
+                order = np.lexsort((line_of, lines))
+                lines, line_of = lines[order], line_of[order]
+                first = np.append(True, (lines[1:] != lines[:-1]) | (line_of[1:] != line_of[:-1])) if len(lines) else np.zeros(0, bool)
+                named = source != 1
+                found.append(_runs(*(x[named[line_of[first]]] for x in (source[line_of[first]], lines[first]))))
+                found.append((source[named], np.full(int(named.sum()), _DOCUMENTS), np.ones(int(named.sum()), np.int64)))
             if found:
-                # the number of documents goes with a key of its own
-                key = np.concatenate([k for k, _ in found] + [np.zeros(1, np.int64)])
-                n = np.concatenate([c for _, c in found] + [np.array([batch.num_rows])])
-                order = np.argsort(key, kind="stable")
-                key, n = key[order], n[order]
-                head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(key[head]), pa.array(np.add.reduceat(n, head))], names=["key", "n"])
+                group, key, n = (np.concatenate([x[k] for x in found]) for k in range(3))
+                order = np.lexsort((group, key))
+                group, key, n = group[order], key[order], n[order]
+                head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(group[head]), pa.array(key[head]), pa.array(np.add.reduceat(n, head))], names=["grp", "key", "n"])
 
     return count
 
 
+def _runs(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups, keys and lengths of the runs of equal ones."""
+    head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return group[head], key[head], np.diff(np.append(head, len(key)))
+
+
 def _among(keys: np.ndarray, kept: np.ndarray) -> np.ndarray:
     if not len(kept):
         return np.zeros(len(keys), bool)
@@ -194,10 +228,17 @@ def _join_lines(text: str) -> list[str]:
 
 
 class _Profile:
-    def __init__(self, common: frozenset[str], keys: np.ndarray, counts: np.ndarray, documents: int):
+    def __init__(self, common: frozenset[str], usual: np.ndarray, known: np.ndarray, own: np.ndarray, own_known: np.ndarray, unsure: frozenset[int]):
+        """Sorted keys of all documents; keys of groups, each mixed with its group; groups that know too few words."""
         self.hashes = _Hashes(common)
-        self.usual = keys  # sorted
-        self.known = keys[counts >= 2 * KEEP_SHARE * documents]
+        self.usual, self.known, self.own, self.own_known, self.unsure = usual, known, own, own_known, unsure
+
+    @staticmethod
+    def among(keys: np.ndarray, everywhere: np.ndarray, groups: np.ndarray, own: np.ndarray) -> np.ndarray:
+        hit = _among(keys, everywhere)
+        rest = np.flatnonzero(~hit)
+        hit[rest] = _among(keys[rest] ^ groups[rest], own)
+        return hit
 
     def line(self, line: str) -> str:
         """p: sentences, l: entries, values or characters, u: can't be told from this line alone, n: nothing."""
@@ -233,12 +274,13 @@ class _Profile:
                 return "p"
         return "u"
 
-    def kinds(self, t: _Tokens, known: np.ndarray) -> list[str]:
+    def kinds(self, t: _Tokens, known: np.ndarray, langs: np.ndarray, sources: np.ndarray) -> list[str]:
         """The kind of each line; f is furniture."""
         letters, said = t.per_line(t.size), t.per_line(t.size * (known & (t.size > 1)))
         clauses = t.per_line((t.hash & _CLAUSE) != 0)
-        furniture = _among(t.keys(), self.usual)
-        strange = (t.n >= 5) & (said < 0.3 * letters)
+        furniture = self.among(t.keys(), self.usual, sources[t.doc] & ~1, self.own)
+        sure = np.array([x not in self.unsure for x in langs.tolist()], bool)
+        strange = (t.n >= 5) & (said < 0.3 * letters) & sure[t.doc]
         # sentences that leave no doubt: many words, clauses, hardly a symbol
         clear = ((clauses * 25 >= t.n) & (clauses > 0) & (t.n >= 11) & (letters <= 14 * t.n)).tolist()
         out = []
@@ -253,8 +295,9 @@ class _Profile:
                 out.append(self.line(x))
         return out
 
-    def measure(self, texts: list[str]) -> np.ndarray:
+    def measure(self, texts: list[str], langs: list[str], sources: list[str | None]) -> np.ndarray:
         """One row of the statistics for each text."""
+        lang, source = (np.array([_group(x) for x in names], np.int64) for names in (langs, sources))
         out = np.zeros((len(texts), len(STATISTICS)))
         t = _Tokens([_join_lines(x) for x in texts], self.hashes)
         docs = len(texts)
@@ -262,14 +305,15 @@ class _Profile:
         some = np.maximum(words, 1)
         letters = np.bincount(t.of, weights=t.size, minlength=docs)
         solid = np.array([len(x) - sum(map(x.count, " \n\r\t")) for x in texts])
-        known = _among(t.hash, self.known)
+        known = self.among(t.hash, self.known, lang[t.of], self.own_known)
         out[:, 0], out[:, 1] = words, letters / some
         out[:, 2] = np.where(solid > 0, np.clip(1 - letters / np.maximum(solid, 1), 0, 1), 0)
         out[:, 4] = np.bincount(t.of, weights=(t.hash & _COMMON) != 0, minlength=docs) / some
         # pairs of known words
         at, pairs = t.pairs()
         judged = known[at] & known[at + 1]
-        of, odd = t.of[at[judged]], ~_among(pairs[judged], self.usual)
+        of = t.of[at[judged]]
+        odd = ~self.among(pairs[judged], self.usual, lang[of], self.own)
         n = np.bincount(of, minlength=docs)
         out[:, 6] = np.where(n >= 8, np.bincount(of, weights=odd, minlength=docs) / np.maximum(n, 1), 0)
         # words of windows of 200 are compared, so that length alone repeats nothing; prose repeats up to three of five
@@ -280,7 +324,7 @@ class _Profile:
         of = (both >> np.uint64(40)).astype(np.int64) // ((int(words.max(initial=0)) // 200) + 1)
         repeat = 1 - np.bincount(of, weights=distinct, minlength=docs) / some
         out[:, 7] = np.where(words >= 20, np.maximum(0, (repeat - 0.6) / 0.4), 0)
-        kinds = self.kinds(t, known)
+        kinds = self.kinds(t, known, lang, source)
         first = np.searchsorted(t.doc, np.arange(docs + 1)).tolist()
         for k in range(docs):
             lines = t.lines[first[k] : first[k + 1]]
@@ -317,7 +361,7 @@ def _measure(common: frozenset[str], kept):
             all_texts = [x or "" for x in batch.column("text").to_pylist()]
             for begin, end in _steps(all_texts):
                 part, texts = batch.slice(begin, end - begin), all_texts[begin:end]
-                values = profile.measure(texts)
+                values = profile.measure(texts, part.column("lang").to_pylist(), part.column("source").to_pylist())
                 near = (values[:, tails] > LEAST_SCALE * np.array([*TAILS.values()]) / 2).any(axis=1)
                 left = [residue.has_residue(x, t, cues) if c else None for x, t, c in zip(texts, part.column("title").to_pylist(), near.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *map(pa.array, values.T), pa.array(left, pa.bool_())], names=["doc_id", "lang", *STATISTICS, "residue"])
@@ -334,7 +378,8 @@ def language(lang: Column) -> Column:
 def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     """(doc_id, lang, the statistics, residue) of every document with an id; null and blank texts have zeros.
 
-    ``docs`` has doc_id, lang, title and text, ``common_words`` has word; other columns are ignored. ``residue`` tells of
+    ``docs`` has doc_id, lang, title and text, and source where furniture is to be counted by source; ``common_words``
+    has word; other columns are ignored. ``residue`` tells of
     a document near a tail whether a residue detector fires; it is null for others. A document given twice has two rows.
     """
     spark = docs.sparkSession
@@ -343,15 +388,29 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     if len(words) > 100_000:
         raise ValueError("common_words is meant to hold the frequent words of each language, at most 100000")
     common = frozenset(words)
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), language(F.col("lang")).alias("lang"), "title", "text")
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), language(F.col("lang")).alias("lang"), "title", "text", (F.lower(F.trim("source")) if "source" in docs.columns else F.lit(None).cast("string")).alias("source"))
     rows = spread(rows)
-    counts = rows.where("text IS NOT NULL AND length(trim(text)) > 0").select("text").mapInArrow(_counter(common), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = write_stage(counts.where(F.col("n") >= KEEP_LEAST), "keys")
-    documents = counts.where("key = 0").agg(F.max("n")).first()[0] or 0
-    kept = counts.where((F.col("n") >= max(KEEP_LEAST, KEEP_SHARE * documents)) & (F.col("key") != 0)).toArrow()
-    keys, n = (kept.column(k).to_numpy() for k in (0, 1))
-    order = np.argsort(keys)
-    sent = spark.sparkContext.broadcast((keys[order], n[order], documents))
+    counts = rows.where("text IS NOT NULL AND length(trim(text)) > 0").select("text", "lang", "source").mapInArrow(_counter(common), "grp bigint, key bigint, n bigint").groupBy("grp", "key").agg(F.sum("n").alias("n"))
+    counts = write_stage(counts, "keys")
+    of_lang, totals = counts.where("grp % 2 = 0"), F.col("key").isin(_DOCUMENTS, _WORDS)
+    documents = of_lang.where(F.col("key") == _DOCUMENTS).agg(F.sum("n")).first()[0] or 0
+    all_keys = of_lang.where(~totals).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(KEEP_LEAST, KEEP_SHARE * documents)).toArrow()
+    keys, n = (all_keys.column(k).to_numpy() for k in (0, 1))
+    # 'und' is no language: its documents are compared with all
+    sizes = counts.where(F.col("key") == _DOCUMENTS).select("grp", F.col("n").alias("size"))
+    own = counts.where(~totals & (F.col("grp") != _group("und"))).join(F.broadcast(sizes), "grp")
+    odd = F.col("grp") % 2 != 0
+    least = F.when(odd, F.greatest(F.lit(float(SOURCE_LEAST)), SOURCE_SHARE * F.col("size"))).otherwise(F.greatest(F.lit(float(KEEP_LEAST)), KEEP_SHARE * F.col("size")))
+    word = ~odd & (F.col("key") % 2 == 0) & (F.col("n") >= F.greatest(F.lit(float(KEEP_LEAST)), 2 * KEEP_SHARE * F.col("size")))
+    own_keys = own.where(F.col("n") >= least).select("grp", "key", word.alias("known"), "n").toArrow()
+    group, key, is_known, n_own = (own_keys.column(k).to_numpy() for k in range(4))
+    held: dict[int, int] = {}
+    for g, k in zip(group[is_known].tolist(), n_own[is_known].tolist()):
+        held[g] = held.get(g, 0) + k
+    words = of_lang.where((F.col("key") == _WORDS) & (F.col("grp") != _group("und"))).select("grp", "n").collect()
+    unsure = frozenset(g for g, k in words if held.get(g, 0) < LEAST_KNOWN * k)
+    mixed = key ^ (group & ~1)
+    sent = spark.sparkContext.broadcast((np.sort(keys), np.sort(keys[n >= 2 * KEEP_SHARE * documents]), np.sort(mixed), np.sort(mixed[is_known]), unsure))
     schema = "doc_id bigint, lang string, " + ", ".join(f"{s} double" for s in STATISTICS) + ", residue boolean"
     return rows.mapInArrow(_measure(common, sent), schema)
 

@@ -21,12 +21,12 @@ _PAIRS = f"""
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "title", "text")
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "title", "text", "source")
     return quality.not_prose(docs, read_table(spark, sf, "common_words"))
 
 
 def p1_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "title", "text")
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "title", "text", "source")
     return quality.profiles(write_stage(quality.statistics(docs, read_table(spark, sf, "common_words")), "statistics"))
 
 
