@@ -42,6 +42,8 @@ LEAST_KNOWN = 0.3
 LEAST_SCALE = 0.1
 #: A language with fewer documents is compared with all languages.
 LEAST_DOCUMENTS = 50
+#: Share of a text that is a case whatever its language holds otherwise.
+LEAST_SHARE = 0.5
 STATISTICS = ("word_count", "mean_word_length", "symbol_ratio", "line_end_share", "common_share", "entry_share", "strange_share", "repeat_share")
 #: Robust z-scores from which a document is in the tail: half of a share, a little less for strange pairs, of which words at
 #: random make some that are usual by chance.
@@ -417,7 +419,8 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
 
 def profiles(measured: DataFrame) -> DataFrame:
     """Adds to rows of ``statistics`` each one's percentile ``<name>_pct`` and robust z-score ``<name>_z`` within the
-    language (all languages where it has few documents), and ``tail``: whether one of ``TAILS`` lies beyond its score."""
+    language (all languages where it has few documents), and ``tail``: whether one of ``TAILS`` lies beyond its score, or is more than half of
+    the text, which a language full of such texts does not change."""
     sketches = [F.kll_sketch_agg_double(s, F.lit(200)).alias(s) for s in STATISTICS]
     of_lang = measured.groupBy("lang").agg(F.count("*").alias("_n"), *sketches)
     of_all = measured.agg(*[F.kll_sketch_agg_double(s, F.lit(200)).alias(f"{s}_all") for s in STATISTICS])
@@ -430,7 +433,7 @@ def profiles(measured: DataFrame) -> DataFrame:
     z = {s: (F.col(s) - F.col(f"_{s}_mid")) / F.greatest(F.col(f"_{s}_dev"), F.lit(LEAST_SCALE)) for s in STATISTICS}
     tail = F.lit(False)
     for s, least in TAILS.items():
-        tail = tail | (z[s] > least)
+        tail = tail | (z[s] > least) | (F.col(s) > LEAST_SHARE)
     pct = lambda s: F.least(F.size(F.filter(f"_{s}", lambda step: step < F.col(s))), F.lit(100)).cast("double")
     return joined.select("doc_id", "lang", *STATISTICS, *[pct(s).alias(f"{s}_pct") for s in STATISTICS], *[z[s].alias(f"{s}_z") for s in STATISTICS], tail.alias("tail"), "residue")
 

@@ -31,3 +31,16 @@ def test_a_rare_language_knows_its_own_words(spark):
     rows += [(d, "xb", None, "\n".join(sentence(few) for _ in range(4)), "a") for d in range(40_000, 40_003)]  # too little text
     docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
     assert {r.doc_id for r in quality.not_prose(docs, common(spark)).collect()} == junk
+
+
+def test_more_than_half_holds_in_a_language_of_lists(spark):
+    rows = []
+    for d in range(300):
+        if d < 100:
+            lang, lists = "en", d % 20 == 0
+        else:
+            lang, lists = ("fr", "de")[d % 2], d % 10 < 7  # seven of ten are tables
+        text = "\n".join(f"Item {d};{k};n/a;{k * d % 99}%" for k in range(12)) if lists else "\n".join(f"They said that the coat was not for sale, and it was {w}." for w in ("blue", "red", "grey"))
+        rows.append((d, lang, None, text, "a"))
+    wanted = {d for d, _, _, text, _ in rows if text.startswith("Item")}
+    assert {r.doc_id for r in quality.not_prose(spark.createDataFrame(rows, SCHEMA), common(spark)).collect()} == wanted
