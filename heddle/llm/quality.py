@@ -42,7 +42,7 @@ LEAST_KNOWN = 0.3
 LEAST_SCALE = 0.1
 #: A language with fewer documents is compared with all languages.
 LEAST_DOCUMENTS = 50
-#: Share of a text that is a case whatever its language holds otherwise.
+#: Share of entries or strange pairs that is a case whatever its language holds otherwise (``repeat_share`` is a score).
 LEAST_SHARE = 0.5
 STATISTICS = ("word_count", "mean_word_length", "symbol_ratio", "line_end_share", "common_share", "entry_share", "strange_share", "repeat_share")
 #: Robust z-scores from which a document is in the tail: half of a share, a little less for strange pairs, of which words at
@@ -433,7 +433,7 @@ def profiles(measured: DataFrame) -> DataFrame:
     z = {s: (F.col(s) - F.col(f"_{s}_mid")) / F.greatest(F.col(f"_{s}_dev"), F.lit(LEAST_SCALE)) for s in STATISTICS}
     tail = F.lit(False)
     for s, least in TAILS.items():
-        tail = tail | (z[s] > least) | (F.col(s) > LEAST_SHARE)
+        tail = tail | (z[s] > least) | ((F.col(s) > LEAST_SHARE) if s != "repeat_share" else F.lit(False))
     pct = lambda s: F.least(F.size(F.filter(f"_{s}", lambda step: step < F.col(s))), F.lit(100)).cast("double")
     return joined.select("doc_id", "lang", *STATISTICS, *[pct(s).alias(f"{s}_pct") for s in STATISTICS], *[z[s].alias(f"{s}_z") for s in STATISTICS], tail.alias("tail"), "residue")
 
