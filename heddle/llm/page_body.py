@@ -1,7 +1,7 @@
 """Main body of crawled pages: substrings that a host repeats on distinct pages are cut, unique runs are kept.
 
 The suffixes of a host's page streams that matter begin where a line, an item of a line of items, or a lead-in before
-a colon begins; they are ordered by their fingerprints (host, unit, following unit) and counted in runs. A repeated
+a colon begins; no suffix is sorted, these units are counted by hash per host and distinct page. A repeated
 string of whole units covers just those units that are themselves repeated, so the first unit decides on coverage;
 the second shows which repeated units are followed by something new on every page - the headings over links to other
 articles. What then remains of a page is read in order:
