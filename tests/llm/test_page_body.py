@@ -47,8 +47,6 @@ def test_lines_outside_body(spark):
     store = spark.createDataFrame(rows, SCHEMA).repartition(4)
     got = [(r.rec_id, r.line_no) for r in page_body.lines_outside_body(store).collect()]
     assert len(got) == len(set(got)) and set(got) == wanted
-    shuffled = {(r.rec_id, r.line_no) for r in page_body.lines_outside_body(store, broadcast_rows=0).collect()}
-    assert shuffled == wanted
 
 
 def test_a_page_alone_is_body(spark):
@@ -71,5 +69,37 @@ def test_bodies(spark):
 
 def test_long_and_odd_content():
     url, title, text = "https://h.example/a-b", "A b", "word " * 300_000 + "\n|||\n x\n" + "a / b / c"
-    _, _, numbers, flags, sizes, units = page_body.read_page(url, title, text)
-    assert numbers == [1, 2, 3, 4] and sum(sizes) == len(units) and sizes[3] == 4
+    _, _, numbers, flags, phrases, symbols, sizes = page_body.read_page(url, title, text)
+    assert numbers == [1, 2, 3, 4] and sum(phrases) == len(symbols) == len(sizes) and phrases[3] == 3 and sum(sizes) == 300_005
+
+
+NOTICE = "We and our 14 partners keep small files on your device, so that we know what you have read and what to show next, and you may refuse each of them in the centre for settings, where a list of all partners stands with the purposes that they have named to us, the time for which they keep what they learn, and a way to write to them; whoever goes on reading without a choice agrees to the files that the site cannot do without, and to no others than these, until the choice is made or the visit ends."
+
+
+def prose(k: int) -> str:
+    rng = random.Random(k)
+    return " ".join(rng.choice(NAMES).lower() + rng.choice(NAMES).lower() + rng.choice(NAMES).lower() for _ in range(40)) + "."
+
+
+def test_strings_within_lines_are_cut(spark):
+    """Pages of one line each: a notice before, after or around the text, with other numbers on every page."""
+    shapes = [lambda n, x: f"{n} {x} {n}", lambda n, x: f"{n} {x}", lambda n, x: f"{x} {n}"]
+    for shape in shapes:
+        rows = [(k, f"https://h.example/p{k}", None, shape(NOTICE.replace("14", str(k)), prose(k).capitalize()), "", "") for k in range(60)]
+        out = page_body.main_body(spark.createDataFrame(rows, SCHEMA)).collect()
+        for r in out:
+            assert r.lines_cut == 0 and r.strings_cut > 0
+            assert "partners" not in r.body and "cannot do without" not in r.body and "visit ends" not in r.body
+            assert " ".join(prose(r.rec_id).lower().split()[5:35]) in r.body.lower()
+
+
+def test_rare_notice_of_a_large_host_is_cut(spark):
+    """Three pages of many suffice, however many pages the host has."""
+    rows = [(k, f"https://h.example/p{k}", None, f"{prose(k)}\n{NOTICE if k < 3 else prose(5000 + k)}\n{prose(9000 + k)}", "", "") for k in range(3000)]
+    assert {(r.rec_id, r.line_no) for r in page_body.lines_outside_body(spark.createDataFrame(rows, SCHEMA)).collect()} == {(0, 2), (1, 2), (2, 2)}
+
+
+def test_one_id_with_two_contents(spark):
+    rows = [(k, f"https://h.example/p{k}", None, f"{prose(k)}\n{NOTICE}", "", "") for k in range(4)] + [(0, "https://h.example/p9", None, f"{NOTICE}\n{prose(77)}", "", "")]
+    got = {(r.rec_id, r.line_no) for r in page_body.lines_outside_body(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(0, 2), (1, 2), (2, 2), (3, 2), (0, 1)}

@@ -30,5 +30,4 @@ def test_short_sentences_by_share_and_run(spark):
     made = [page(k) for k in range(80)]
     store = spark.createDataFrame([r for r, _ in made], SCHEMA)
     wanted = set().union(*(w for _, w in made))
-    for rows in (page_body.BROADCAST_ROWS, 0):
-        assert {(r.rec_id, r.line_no) for r in page_body.lines_outside_body(store, broadcast_rows=rows).collect()} == wanted
+    assert {(r.rec_id, r.line_no) for r in page_body.lines_outside_body(store).collect()} == wanted
