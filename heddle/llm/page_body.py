@@ -45,11 +45,11 @@ LONG_PHRASE, TRIGGER = 24, 8
 
 _HEADLINE, _SENTENCE, _SHORT, _TEASER, _LEAD, _ITEMS = 1, 2, 4, 8, 16, 32
 _DIGITS = re.compile(r"\d+")
-_NO_WORD = re.compile(r"(?:[^\w\n\x01\x02\x03]|_)+")
+_NO_WORD = re.compile(r"[^\w\n\x01\x02\x03]+")
 _ONE_WORD = re.compile(r"[^\W_]+")
 _CONTROL = re.compile(r"[\x01\x02\x03]")
-_AFTER_SENTENCE = re.compile(r"(?:(?<=[^\W\d_]{2}[.!?…])|(?<=\d{4}[.!?…])|(?<=[\"”»’')\]%][.!?…]))[\"”»’')\]]*[^\S\n]+(?=\S)")
-_SEPARATOR = re.compile(r"[|›/·•»>]|(?<=\S)[^\S\n]{2,}(?=\S)")
+_AFTER_SENTENCE = re.compile(r"[.!?…](?:(?<=[^\W\d_]{2}.)|(?<=\d{4}.)|(?<=[\"”»’')\]%].))[\"”»’')\]]*[^\S\n]+(?=\S)")
+_SEPARATOR = re.compile(r"[|›/·•»>]|[^\S\n]{2,}")
 _LEAD_IN = re.compile(r"^([^\S\n]*[^:\n]{2,40}):(?=[^\S\n]+\S)", re.M)
 _END = re.compile(r"[.!?…][\"”»’')\]]*\s*$")
 _NUMBERED = re.compile(r"\s*\d{1,3}[.)]\s")
@@ -61,7 +61,8 @@ _PAGE_ARROW = pa.schema([(c, pa.int64()) for c in ("rec_id", "place", "host", "p
 
 
 def _words(text: str) -> str:
-    return _NO_WORD.sub(" ", _DIGITS.sub("0", text.lower()))
+    low = text.lower()
+    return _NO_WORD.sub(" ", _DIGITS.sub("0", low.replace("_", " ") if "_" in low else low))
 
 
 def _signed(h: int) -> int:
