@@ -36,7 +36,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_bodies(spark: SparkSession, sf: str) -> DataFrame:
     store = read_table(spark, sf, "crawl_store").select("rec_id", "url", "title", "content")
-    return page_body.main_body(store).select("rec_id", "body", "lines_cut")
+    return page_body.main_body(store).select("rec_id", "body", "lines_cut", "strings_cut")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,6 +76,11 @@ def p7_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return site_lines.without_repeated_lines(docs).select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.col("lines_cut").cast("bigint").alias("lines_cut"))
 
 
+def p7_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    return site_lines.without_repeated_text(docs).select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.col("stretches_cut").cast("bigint").alias("stretches_cut"))
+
+
 _LINES = """
     lines AS (SELECT doc_id, source, line_no, line, trim(regexp_replace(regexp_replace(lower(line), '\\p{Nd}+', '0', 'g'), '[^\\p{L}\\p{Nd}]+', ' ', 'g'), ' ') AS norm
               FROM (SELECT doc_id, lower(trim(source)) AS source, unnest(string_split(text, chr(10))) AS line,
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_term_weights": p6_term_weights,
     "p7_found": p7_found,
     "p7_cleaned": p7_cleaned,
+    "p7_stretches": p7_stretches,
     "p8_pack": p8_pack,
     "p8_fill": p8_fill,
     "p9_mix": p9_mix,

@@ -1,9 +1,13 @@
-"""Lines that one source repeats under many of its documents, found by content-defined chunks.
+"""Lines and stretches of text that one source repeats under many of its documents, found by content-defined chunks.
 
 A document's normalised text is cut by a rolling hash: a cut falls after every byte at which the hash of the last
-``WINDOW`` bytes has ``CUT_BITS`` zero bits, and at the end of a line. Equal stretches of text are thus cut alike
-wherever they stand, in texts with or without line ends. Distinct documents are counted per source and chunk; chunks in fewer documents than
-the limit cannot be part of a repeated line and are cut away, and what is left is checked line by line.
+``WINDOW`` bytes has ``CUT_BITS`` zero bits. Line ends are no cuts, so that equal stretches of text are cut alike
+wherever they stand, in texts with or without line ends. Distinct documents are counted per source and chunk
+(``suffixes``, with one symbol a suffix).
+
+* Runs of chunks in many documents are cut out of the texts (``without_repeated_text``).
+* A line is a candidate if every chunk whose two cuts the line itself decides is repeated; the candidates' whole lines are
+  checked exactly (``repeated_lines``). Lines too short to hold such a chunk are left to the exact check.
 """
 
 from __future__ import annotations
@@ -12,12 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.suffixes import repeated_prefixes
 from heddle.session import spread, write_stage
 
-WINDOW, CUT_BITS = 16, 6
+WINDOW, CUT_BITS = 12, 5
 #: Bytes hashed at once; a longer single text is hashed whole.
 STEP_BYTES = 1 << 20
 
@@ -26,7 +32,9 @@ _GEAR = _RNG.integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _BYTE = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-_OUT = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("letters", pa.int32()), ("line_a", pa.int64()), ("line_b", pa.int64()), ("chunks", pa.list_(pa.int64()))])
+_LISTS = {"symbols": pa.int64(), "words": pa.int32(), "letters": pa.int32(), "line_no": pa.int32(), "first": pa.int32(), "inner": pa.int32(), "line_a": pa.int64(), "line_b": pa.int64()}
+_CHUNKED = "place bigint, page bigint, symbols array<bigint>, words array<int>, letters array<int>, line_no array<int>, first array<int>, inner array<int>, line_a array<bigint>, line_b array<bigint>"
+_WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 
 
 def source_key(source: Column) -> Column:
@@ -51,74 +59,129 @@ def _hashed(data: np.ndarray, starts: np.ndarray, which: int, salt: np.ndarray)
     return (h ^ (h >> np.uint64(31))) * _BASE[which]
 
 
-def _lines_of(doc_ids: np.ndarray, salts: np.ndarray, data: np.ndarray, ends: np.ndarray, least_letters: int) -> pa.RecordBatch | None:
-    """Chunks and fingerprints of the lines of consecutive texts; each text is ended by one newline byte at ``ends``."""
+def _lists(of: np.ndarray, values: np.ndarray, docs: int, kind: pa.DataType) -> pa.Array:
+    offsets = np.append(0, np.cumsum(np.bincount(of, minlength=docs))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+def _chunks_of(places: np.ndarray, doc_ids: np.ndarray, salts: np.ndarray, data: np.ndarray, ends: np.ndarray, least_letters: int) -> pa.RecordBatch:
+    """Chunks and lines of consecutive texts; each text is ended by one newline byte at ``ends``.
+
+    Of each chunk: symbol, twice the words that begin in it (one more if it ends within a word), letters. Of each line
+    of ``least_letters`` letters: number, first and number of the chunks that it decides, two fingerprints.
+    """
+    docs = len(ends)
     newline = data == 10
-    stops = np.flatnonzero(newline)
-    begins = np.append(0, stops[:-1] + 1)
-    doc = np.searchsorted(ends, stops)  # the text of each line
-    first = np.append(0, np.flatnonzero(np.diff(doc)) + 1)
-    number = np.arange(len(stops)) - np.repeat(first, np.diff(np.append(first, len(stops)))) + 1
-    letter = ((data & 0xC0) != 0x80) & (data != 0x30) & (data != 0x20) & ~newline
-    letters = np.add.reduceat(letter.astype(np.int32), begins)
-    good = letters >= least_letters
-    if not good.any():
-        return None
-    keep = np.repeat(good, stops - begins + 1) & ~newline  # only lines that can be cases are hashed
-    sizes = (stops - begins)[good]
-    data, starts = data[keep], np.append(0, np.cumsum(sizes)[:-1])
+    begins = np.append(0, ends[:-1] + 1)
+    text = np.repeat(np.arange(docs), ends + 1 - begins)  # of each byte
+    place = np.arange(len(data)) - begins[text]
     rolled = np.zeros(len(data), np.uint32)
     for k in range(WINDOW):
         rolled[k:] += _GEAR[data[: len(data) - k]] << np.uint32(k)
-    place = np.arange(len(data)) - np.repeat(starts, sizes)
     cut = ((rolled >> np.uint32(32 - CUT_BITS)) == 0) & (place >= WINDOW - 1)
-    head = np.zeros(len(data), bool)
-    head[1:] = cut[:-1]
-    head[starts] = True
-    chunk_starts = np.flatnonzero(head)
-    salt = salts[doc[good]]
-    per_line = np.add.reduceat(head.astype(np.int32), starts)
-    chunks = _hashed(data, chunk_starts, 0, np.repeat(salt, per_line))
-    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_line)).astype(np.int32)), pa.array(chunks.view(np.int64)))
-    a, b = (_hashed(data, starts, k, salt).view(np.int64) for k in (0, 1))
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids[doc[good]]), pa.array(number[good].astype(np.int32)), pa.array(letters[good].astype(np.int32)), pa.array(a), pa.array(b), lists], schema=_OUT)
+    stop = cut.copy()
+    stop[ends] = True
+    stops = np.flatnonzero(stop)
+    starts = np.append(0, stops[:-1] + 1)
+    symbols = _hashed(data, starts, 0, salts[text[starts]])
+    gap = newline | (data == 32)
+    word = ~gap & np.append(True, gap[:-1])
+    letter = ((data & 0xC0) != 0x80) & (data != 0x30) & ~gap
+    within = ~gap[stops] & ~np.append(gap[1:], True)[stops]
+    words, letters = np.add.reduceat(word.astype(np.int32), starts), np.add.reduceat(letter.astype(np.int32), starts)
+    # lines
+    line_stops = np.flatnonzero(newline)
+    line_starts = np.append(0, line_stops[:-1] + 1)
+    of = text[line_stops]
+    first_line = np.searchsorted(of, np.arange(docs))
+    number = np.arange(len(of)) - first_line[of] + 1
+    long = np.add.reduceat(letter.astype(np.int32), line_starts) >= least_letters
+    b, e, of, number = line_starts[long], line_stops[long], of[long], number[long]
+    cuts = np.cumsum(stop)  # of each byte: chunks that end up to here
+    first = cuts[np.minimum(b + WINDOW - 2, e - 1)]  # the chunk of the line's first own cut
+    real = np.append(0, np.cumsum(cut))
+    inner = np.maximum(real[e] - real[np.minimum(b + WINDOW - 1, e)] - 1, 0)
+    first_chunk = np.searchsorted(text[stops], np.arange(docs))
+    keep = np.zeros(len(data), np.int8)
+    np.add.at(keep, b, 1)
+    np.add.at(keep, e, -1)
+    kept = data[np.cumsum(keep, dtype=np.int8) > 0]
+    at = np.append(0, np.cumsum(e - b)[:-1]).astype(np.int64)
+    a, c = (_hashed(kept, at, k, salts[of]).view(np.int64) if len(of) else np.zeros(0, np.int64) for k in (0, 1))
+    chunk_of = text[stops]
+    by = {"symbols": (chunk_of, symbols.view(np.int64)), "words": (chunk_of, 2 * words + within), "letters": (chunk_of, letters)}
+    by |= {"line_no": (of, number), "first": (of, first + 1 - first_chunk[of]), "inner": (of, inner), "line_a": (of, a), "line_b": (of, c)}
+    lists = [_lists(x, v.astype(_LISTS[n].to_pandas_dtype()), docs, _LISTS[n]) for n, (x, v) in by.items()]
+    return pa.RecordBatch.from_arrays([pa.array(places), pa.array(doc_ids), *lists], names=["place", "page", *_LISTS])
 
 
 def _chunker(least_letters: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, salts = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            texts = batch.column(2).cast(pa.large_string())
+            places, ids, salts = (batch.column(k).to_numpy() for k in range(3))
+            texts = batch.column(3).cast(pa.large_string())
             offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
             raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
             at = 0
             while at < len(texts):
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES)) - 1)
-                data = raw[offsets[at] : offsets[to]]
-                if len(data):
-                    out = _lines_of(ids[at:to], salts[at:to], data, offsets[at + 1 : to + 1] - offsets[at] - 1, least_letters)
-                    if out is not None:
-                        yield out
+                yield _chunks_of(places[at:to], ids[at:to], salts.view(np.uint64)[at:to], raw[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at] - 1, least_letters)
                 at = to
 
     return run
 
 
-def chunked_lines(docs: DataFrame, least_letters: int = 20) -> DataFrame:
-    """(doc_id, line_no, letters, line_a, line_b, chunks) of each line with at least ``least_letters`` letters.
+def _place(docs: DataFrame) -> Column:
+    return F.xxhash64(F.col("doc_id").cast("bigint"), "text")
+
 
-    ``docs`` has doc_id, source and text. Texts that are null and documents without id or source have no lines.
-    Fingerprints hold the source, so equal lines of two sources differ.
+def chunked(docs: DataFrame, least_letters: int = 20) -> DataFrame:
+    """(place, page, and of the chunks and of the lines with at least ``least_letters`` letters the lists of ``_CHUNKED``).
+
+    ``docs`` has doc_id, source and text. Texts that are null and documents without id or source have no row.
+    Symbols and fingerprints hold the source, so equal chunks and lines of two sources differ.
     """
     source = source_key(F.col("source"))
     # trailing newline: one per text, so that every line has an end
-    ready = docs.where("text IS NOT NULL AND doc_id IS NOT NULL AND source IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(source).alias("salt"), F.concat(normal_text(F.col("text")), F.lit("\n")).alias("t"))
-    return spread(ready).mapInArrow(_chunker(least_letters), "doc_id bigint, line_no int, letters int, line_a bigint, line_b bigint, chunks array<bigint>")
+    ready = docs.where("text IS NOT NULL AND doc_id IS NOT NULL AND source IS NOT NULL").select(_place(docs).alias("place"), F.col("doc_id").cast("bigint").alias("page"), F.xxhash64(source).alias("salt"), F.concat(normal_text(F.col("text")), F.lit("\n")).alias("t"))
+    return spread(ready).mapInArrow(_chunker(least_letters), _CHUNKED)
+
+
+def _marked(docs: DataFrame, least_documents: int, least_letters: int) -> DataFrame:
+    """``chunked`` without symbols, with ``often``: the places of the chunks in ``least_documents`` documents of the source."""
+    chunks = write_stage(chunked(docs, least_letters), "chunks")
+    often = repeated_prefixes(chunks, least_documents, most=1).groupBy("place").agg(F.collect_set("at").alias("often"))
+    return chunks.drop("symbols").join(often, "place", "left")
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each value of a list column, and the values."""
+    column = batch.column(name)
+    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(n)), n), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _hits(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each chunk is repeated, its text, and the first chunk of each text."""
+    of, _ = _flat(batch, "words")
+    first = np.searchsorted(of, np.arange(batch.num_rows + 1))
+    row, at = _flat(batch, "often")
+    hit = np.zeros(len(of), bool)
+    hit[first[row] + at] = True
+    return hit, of, first
 
 
-def _in_documents(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The keys that occur in at least ``least`` distinct documents; partial counts before each shuffle."""
-    return rows.select(*keys, "doc_id").distinct().groupBy(*keys).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least)
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines whose own chunks are all repeated."""
+    for batch in batches:
+        hit, _, first_chunk = _hits(batch)
+        total = np.append(0, np.cumsum(hit))
+        of, number = _flat(batch, "line_no")
+        first, inner, a, b = (_flat(batch, c)[1] for c in ("first", "inner", "line_a", "line_b"))
+        begin = np.minimum(first_chunk[of] + first, len(hit))
+        good = (inner == 0) | (total[np.minimum(begin + inner, len(hit))] - total[begin] == inner)
+        doc = batch.column("page").to_numpy()[of]
+        yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (doc, number, a, b)], names=["doc_id", "line_no", "line_a", "line_b"])
 
 
 def repeated_lines(docs: DataFrame, least_documents: int = 4, least_letters: int = 20) -> DataFrame:
@@ -126,14 +189,8 @@ def repeated_lines(docs: DataFrame, least_documents: int = 4, least_letters: int
 
     Lines are numbered from 1 after cutting at the newline character. A document that is given twice counts once.
     """
-    lines = write_stage(chunked_lines(docs, least_letters), "lines")
-    chunks = lines.select("doc_id", F.explode("chunks").alias("chunk"))
-    often = _in_documents(chunks, ["chunk"], least_documents).select("chunk")
-    # a line stays a candidate as long as its first and last chunk are repeated; the exact check is over whole lines
-    left = lines.select("doc_id", "line_no", "line_a", "line_b", F.element_at("chunks", 1).alias("chunk"), F.element_at("chunks", -1).alias("other"))
-    left = left.join(often, "chunk", "left_semi").drop("chunk").withColumnRenamed("other", "chunk").join(often, "chunk", "left_semi").drop("chunk")
-    candidates = write_stage(left, "candidates")
-    exact = _in_documents(candidates, ["line_a", "line_b"], least_documents)
+    candidates = write_stage(_marked(docs, least_documents, least_letters).mapInArrow(_candidates, "doc_id bigint, line_no int, line_a bigint, line_b bigint"), "candidates")
+    exact = candidates.select("line_a", "line_b", "doc_id").distinct().groupBy("line_a", "line_b").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least_documents)
     return candidates.join(exact, ["line_a", "line_b"]).select("doc_id", "line_no", "n_docs").distinct()
 
 
@@ -142,3 +199,55 @@ def without_repeated_lines(docs: DataFrame, least_documents: int = 4, least_lett
     cut = repeated_lines(docs, least_documents, least_letters).groupBy("doc_id").agg(F.collect_set("line_no").alias("_cut"))
     kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.array_contains("_cut", i + 1), F.lit(False)))
     return docs.join(cut, "doc_id", "left").withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).withColumn("lines_cut", F.coalesce(F.size("_cut"), F.lit(0))).drop("_cut")
+
+
+def _stretches(least_letters: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(place, from_word, to_word): runs of repeated chunks with at least ``least_letters`` letters."""
+        for batch in batches:
+            hit, of, first = _hits(batch)
+            words, letters = _flat(batch, "words")[1].astype(np.int64), np.append(0, np.cumsum(_flat(batch, "letters")[1]))
+            begun = np.append(0, np.cumsum(words >> 1))
+            joined = np.append(False, hit[:-1] & (of[1:] == of[:-1])) if len(of) else hit
+            begin = np.flatnonzero(hit & ~joined)
+            end = np.flatnonzero(hit & ~np.append(joined[1:] & hit[1:], False)) + 1 if len(of) else begin
+            good = letters[end] - letters[begin] >= least_letters
+            begin, end = begin[good], end[good]
+            text = of[begin]
+            out = begun[begin] - begun[first[text]], begun[end] - begun[first[text]] - (words[end - 1] & 1)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("place").to_numpy()[text]), *(pa.array(x.astype(np.int32)) for x in out)], names=["place", "from_word", "to_word"])
+
+    return run
+
+
+def _without(text: str, stretches: list[tuple[int, int]]) -> str:
+    """The text without stretches of its words; what stands between two words goes with the first."""
+    low = text.lower()
+    place = None if len(low) == len(text) else [k for k, c in enumerate(text) for _ in c.lower()]
+    starts = [m.start() for m in _WORD.finditer(low)]
+    starts = (starts if place is None else [place[k] for k in starts]) + [len(text)]
+    kept, at = [], 0
+    for begin, end in sorted(stretches):
+        if begin < end:
+            kept.append(text[at : starts[min(begin, len(starts) - 1)]])
+            at = starts[min(end, len(starts) - 1)]
+    return "".join([*kept, text[at:]])
+
+
+def without_repeated_text(docs: DataFrame, least_documents: int = 4, least_letters: int = 20) -> DataFrame:
+    """``docs`` with stretches of at least ``least_letters`` letters cut out of ``text`` that consist of chunks in
+    ``least_documents`` documents of the source, and ``stretches_cut``. Lines play no part.
+
+    Other columns and rows stay; texts that are null, and documents without id or source, stay as they are. At both
+    ends of a repeated stretch a piece may be left that makes no whole chunk (2 ** ``CUT_BITS`` bytes on average).
+    """
+    cut = _marked(docs, least_documents, least_letters).mapInArrow(_stretches(least_letters), "place bigint, from_word int, to_word int").where("from_word < to_word").distinct()
+    cut = cut.groupBy("place").agg(F.collect_list(F.struct("from_word", "to_word")).alias("_cut")).withColumnRenamed("place", "_place")
+
+    @F.pandas_udf("string")
+    def left(text, cuts):
+        return text.combine(cuts, lambda t, c: t if t is None or c is None else _without(t, [(int(x["from_word"]), int(x["to_word"])) for x in c]))
+
+    place = F.when(F.col("source").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull(), _place(docs))
+    joined = docs.withColumn("_place", place).join(cut, "_place", "left")
+    return joined.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(left(F.col("text"), F.col("_cut")))).withColumn("stretches_cut", F.coalesce(F.size("_cut"), F.lit(0))).drop("_cut", "_place")

@@ -32,8 +32,11 @@ _RUN_ARROW = pa.schema([("place", pa.int64()), ("at", pa.int32()), ("depth", pa.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _suffixes(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(rows, batches)
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         symbols = batch.column("symbols")
         sizes = symbols.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         s1 = symbols.flatten().to_numpy(zero_copy_only=False)
@@ -42,13 +45,15 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.arange(len(row)) - start[row]
         place, page = (batch.column(c).to_numpy()[row] for c in ("place", "page"))
         rest = np.zeros(len(s1), np.uint64)
-        for k, shift in ((1, 0), (2, 32)):
+        for k, shift in ((1, 0), (2, 32))[: depth - 1]:
             # behind the stream's end stands what no other stream has
             follow = ((place.view(np.uint64) * _MIX >> np.uint64(7)) + at.astype(np.uint64) * np.uint64(DEPTH) + np.uint64(k)) * _MIX
             inside = np.flatnonzero(at + k < sizes[row])
             follow[inside] = s1.view(np.uint64)[inside + k]
             rest |= (follow >> np.uint64(32)) << np.uint64(32 - shift)
-        yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(rest.view(np.int64)), pa.array(page), pa.array(place), pa.array(at.astype(np.int32))], names=["s1", "rest", "page", "place", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(s1), pa.array(rest.view(np.int64)), pa.array(page), pa.array(place), pa.array(at.astype(np.int32))], names=["s1", "rest", "page", "place", "at"])
+
+    return run
 
 
 class _Rows:
@@ -83,11 +88,11 @@ class _Rows:
         b = a & (self.rest >> 32 == of[1] >> 32)
         return a.astype(np.int8) + b + (b & (self.rest == of[1]))
 
-    def depths(self, least: int) -> np.ndarray:
-        """Of each row its longest prefix on at least ``least`` distinct pages."""
+    def depths(self, least: int, most: int) -> np.ndarray:
+        """Of each row its longest prefix, at most ``most`` symbols, on at least ``least`` distinct pages."""
         out = np.zeros(len(self), np.int8)
         rows = np.arange(len(self))
-        for depth in range(1, DEPTH + 1):
+        for depth in range(1, most + 1):
             part = self.take(rows) if len(rows) < len(self) else self
             g = part.groups(depth)
             rows, g, page = (x[np.bincount(g)[g] >= least] for x in (rows, g, part.page)) if len(g) else (rows, g, part.page)
@@ -102,17 +107,17 @@ class _Rows:
         return out
 
 
-def _witnesses(rows: _Rows, of: tuple[int, int], least: int) -> np.ndarray:
+def _witnesses(rows: _Rows, of: tuple[int, int], least: int, most: int) -> np.ndarray:
     """For each prefix of a suffix rows of at most ``least`` distinct pages that begin with it."""
     shared, out = rows.common(of), []
-    for depth in range(1, DEPTH + 1):
+    for depth in range(1, most + 1):
         has = np.flatnonzero(shared >= depth)
         _, first = np.unique(rows.page[has], return_index=True)
         out.append(has[first[:least]])
     return np.concatenate(out)
 
 
-def _scan(least: int, edges: bool, at_once: int):
+def _scan(least: int, most: int, edges: bool, at_once: int):
     """With ``edges`` the first and last runs go on in other tasks, and what is open of them comes out without depth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,20 +144,20 @@ def _scan(least: int, edges: bool, at_once: int):
                 yield rows_out(left, None)
 
     def step(rows: _Rows, first: tuple[int, int] | None, end: bool) -> tuple[pa.RecordBatch, _Rows]:
-        depth = rows.depths(least)
+        depth = rows.depths(least, most)
         open_to = rows.common(first) if first is not None else np.zeros(len(rows), np.int8)
         last = int(rows.s1[-1]), int(rows.rest[-1])
         borders = [first] if first is not None else []
         if edges or not end:
             open_to = np.maximum(open_to, rows.common(last))
             borders.append(last)
-        final = depth >= open_to
+        final = depth >= np.minimum(open_to, most)
         sent = rows.sent | final
         done = rows.take(np.flatnonzero(final & ~rows.sent & (depth > 0)))
         out = rows_out(done, depth[final & ~rows.sent & (depth > 0)])
         keep = ~final
         for border in borders:
-            keep[_witnesses(rows, border, least)] = True
+            keep[_witnesses(rows, border, least, most)] = True
         return out, _Rows(*rows.columns[:5], sent).take(np.flatnonzero(keep))
 
     def rows_out(rows: _Rows, depth: np.ndarray | None) -> pa.RecordBatch:
@@ -165,16 +170,16 @@ def _scan(least: int, edges: bool, at_once: int):
     return run
 
 
-def repeated_prefixes(streams: DataFrame, least_pages: int, at_once: int = STEP) -> DataFrame:
-    """(place, at, depth): the suffixes with a prefix of ``depth`` symbols, at most ``DEPTH``, on ``least_pages`` pages.
+def repeated_prefixes(streams: DataFrame, least_pages: int, at_once: int = STEP, most: int = DEPTH) -> DataFrame:
+    """(place, at, depth): the suffixes with a prefix of ``depth`` symbols, at most ``most`` (up to ``DEPTH``), on ``least_pages`` pages.
 
     ``streams`` has place (which identifies a stream), page and symbols (array of bigint). Only distinct pages count,
     so a stream or page that is given twice repeats nothing. Suffixes without such a prefix have no row; one at
     the border of two tasks may have a second row of less depth. ``at_once`` rows are scanned at once.
     """
     order = ["s1", "rest", "page"]
-    suffixes = streams.select("place", "page", "symbols").mapInArrow(_suffixes, _SUFFIX)
-    scanned = write_stage(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan(least_pages, True, at_once), _RUN), "suffix-runs")
+    suffixes = streams.select("place", "page", "symbols").mapInArrow(_suffixes(most), _SUFFIX)
+    scanned = write_stage(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan(least_pages, most, True, at_once), _RUN), "suffix-runs")
     open_rows = scanned.where("depth IS NULL").drop("depth").repartition("s1").sortWithinPartitions(*order)
-    closed = open_rows.mapInArrow(_scan(least_pages, False, at_once), _RUN)
+    closed = open_rows.mapInArrow(_scan(least_pages, most, False, at_once), _RUN)
     return scanned.where("depth IS NOT NULL").select("place", "at", "depth").unionByName(closed.select("place", "at", "depth"))

@@ -64,6 +64,34 @@ def test_removal_and_empty(spark):
 
 def test_chunks_of_equal_text_are_equal_elsewhere(spark):
     body = " ".join(f"palabra{chr(97 + k % 26)}{chr(97 + k % 7)}" for k in range(400))
-    df = spark.createDataFrame([(1, "a", "intro one two " + body, 1, ""), (2, "a", "another quite different opening of it " + body, 1, "")], SCHEMA)
-    one, two = (set(r.chunks) for r in site_lines.chunked_lines(df).collect())
-    assert len(one & two) >= 0.9 * len(one) > 10
+    df = spark.createDataFrame([(1, "a", "intro one two " + body, 1, ""), (2, "a", "another quite different opening\nof it " + body.replace(" ", "\n"), 1, ""), (3, "a", "x " + body, 1, "")], SCHEMA)
+    one, two, three = (set(r.symbols) for r in site_lines.chunked(df).orderBy("page").collect())
+    assert len(one & three) >= 0.9 * len(one) > 10
+    assert len(two) < 300  # of 400 lines: line ends are text like any other, not cuts
+
+
+NOTICE = "The material on this site may not be copied, sent on or stored without the written permission of its owner, who may be asked by letter in the year 2021 or later, at the address that stands in the imprint of every printed number since the first"
+
+
+def without_line_ends(k: int) -> str:
+    rng = random.Random(k)
+    words = lambda n: " ".join("".join(rng.choice("abcdeéilmnorst") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    return f"{words(40)} {NOTICE.replace('2021', str(2000 + k))} {words(30)}"
+
+
+def test_stretches_of_texts_without_line_ends(spark):
+    rows = [(k, "a", without_line_ends(k), 1, "clash") for k in range(200)] + [(900 + k, "b", without_line_ends(900 + k), 1, "") for k in range(3)]
+    rows += [(1000, None, NOTICE, 1, ""), (1001, "a", None, 1, ""), (1002, "a", "", 1, ""), (None, "a", NOTICE, 1, ""), rows[0]]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = site_lines.without_repeated_text(df).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        before = [t for d, _, t, *_ in rows if d == r.doc_id][0]
+        if r.doc_id is None or r.source != "a" or not before:
+            assert r.text == before and r.stretches_cut == 0
+            continue
+        assert r.stretches_cut >= 1 and "written permission" not in r.text and "by letter in the year" not in r.text
+        assert len(set(NOTICE.split()) & set(r.text.split())) < 0.5 * len(set(NOTICE.split()))
+        own = [w for w in before.split() if w not in NOTICE.replace("2021", str(2000 + r.doc_id)).split()]
+        assert [w for w in r.text.split() if w in set(own)] == own  # nothing else is lost
+    assert site_lines.without_repeated_text(spark.createDataFrame([], SCHEMA)).count() == 0
