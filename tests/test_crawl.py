@@ -106,6 +106,34 @@ def test_ledger_survives_failures(spark, tmp_path):
     book.commit(third)
     assert set(states(21).values()) == {"done"}
     assert book.done().count() == 3
+    # folding tokens changes no state
+    assert book.compact(at(21)) == 3 and book.compact(at(21)) == 0
+    assert set(states(21).values()) == {"done"} and book.done().count() == 3
+    with pytest.raises(ledger.StaleToken):
+        book.commit(first)
     # a changed record is pending again
     changed = spark.createDataFrame([("a", "2"), ("b", "1")], "item string, version string")
     assert states(22, changed) == {"a": "pending", "b": "done"}
+    # a lease of the new version is lost, and the record goes back to what was committed
+    fourth, _ = book.lease(changed, "w4", 60, now=at(22))
+    assert fourth > third and states(22, changed)["a"] == "leased" and states(30, changed)["a"] == "pending"
+    assert states(30) == {"a": "done", "b": "done", "c": "done"}
+    book.compact(at(30))
+    assert states(30) == {"a": "done", "b": "done", "c": "done"} and states(31, changed)["a"] == "pending"
+    fifth, _ = book.lease(changed, "w5", 60, now=at(31))
+    book.commit(fifth)
+    assert states(32, changed) == {"a": "done", "b": "done"} and states(32)["a"] == "pending"
+
+
+def test_recorded_runs_are_taken_in_once(spark, tmp_path):
+    store = spark.createDataFrame([(1, "https://h/a", NOW, "X", "x"), (2, "https://h/b", NOW, "y", "y"), (3, None, NOW, "y", "y")], "rec_id bigint, url string, last_crawled timestamp, content_hash string, content string")
+    done = spark.createDataFrame([(1, "https://h/a/", "x"), (2, "https://h/a", "z"), (3, "https://h/b", "Y"), (None, "https://h/b", "q"), (9, "https://h/b", "q")], "run_id int, url string, content_hash string")
+    runs = spark.createDataFrame([(1, NOW, NOW, "success"), (2, NOW, None, "aborted"), (3, NOW, NOW, "success")], "run_id int, started_at timestamp, finished_at timestamp, status string")
+    path = str(tmp_path / "ledger")
+    for _ in range(2):
+        got = {r.rec_id: r.state for r in ledger.page_states(store, done, runs, path).collect()}
+        assert got == {1: "done", 2: "done"}
+    book = ledger.WorkLedger(spark, path)
+    assert book.leases().count() == 4 and book.done().count() == 2
+    token, rows = book.lease(ledger.newest_states(store.withColumn("content_hash", F.lit("new"))), "next", 60)
+    assert token > 9 and rows.count() == 2
