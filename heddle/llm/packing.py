@@ -23,6 +23,8 @@ from heddle.session import write_stage
 GROUPS, SMALL_SHARE = 64, 0.125
 #: Items and containers that one share of the best-fit step holds.
 SHARE_ROWS = 50_000
+#: Sizes that one table of limits may hold; more are an error.
+MOST_SIZES = 1000
 
 
 def _best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -199,7 +201,11 @@ def pack(sizes: DataFrame, capacity: int, groups: int = GROUPS, small_share: flo
 
 def pack_all(sizes: DataFrame, limits: DataFrame) -> DataFrame:
     """``pack`` for each 'pack' size of ``limits`` (purpose, size_tokens), with ``capacity``."""
-    capacities = sorted({r[0] for r in limits.where("lower(trim(purpose)) = 'pack' AND size_tokens > 0").select("size_tokens").distinct().limit(1000).collect()})
+    # a table by hand: its size is checked
+    found = limits.where("lower(trim(purpose)) = 'pack' AND size_tokens > 0").select("size_tokens").distinct().limit(MOST_SIZES + 1).collect()
+    if len(found) > MOST_SIZES:
+        raise ValueError(f"limits is meant to hold at most {MOST_SIZES} sizes")
+    capacities = sorted({r[0] for r in found})
     out = None
     for c in capacities:
         one = pack(sizes, c).withColumn("capacity", F.lit(c).cast("bigint"))

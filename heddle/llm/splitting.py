@@ -21,6 +21,8 @@ from heddle.session import spread
 KINDS = ("character", "word", "sentence", "line", "paragraph")
 #: Pieces this close to the limit are encoded again by themselves.
 NEAR = 2
+#: Sizes that one table of limits may hold; more are an error.
+MOST_SIZES = 1000
 
 _CLOSING, _STOP, _WIDE = (np.isin(np.arange(256), x) for x in ([34, 39, 41, 93], [33, 46, 63], [0xA6, 0x9D, 0x99]))
 _PIECES = "doc_id bigint, size_tokens bigint, overlap_tokens bigint, piece_no int, first_token bigint, n_tokens bigint, boundary string, piece string"
@@ -112,12 +114,15 @@ class Boundaries:
         if len(self.kind) - 1 <= size:
             return []
         at = self.at.tolist()
-        for less in (0, 4, 16, 64, size // 2):
+        for less in (0, 4, 16, 64, size // 4, size // 2, size - overlap - 2):
             if less and size - less <= overlap + 1:
-                break
+                continue
             cut = [(b, e, self.raw[at[b] : at[e]].decode("utf-8", "replace")) for b, e in cuts(self.kind, size - less, overlap)]
-            if all(len(self.enc.encode_ordinary(x)) <= size for b, e, x in cut if e - b >= size - NEAR):
+            near = 0 if less else size - NEAR  # if a shorter size was needed, all pieces are encoded again
+            if all(len(self.enc.encode_ordinary(x)) <= size for b, e, x in cut if e - b >= near):
                 break
+        else:
+            raise ValueError(f"no cut of a text keeps its pieces within {size} tokens")
         return [(b, e - b, KINDS[max(0, self.kind[e])], x) for b, e, x in cut]
 
 
@@ -149,7 +154,9 @@ def split_documents(docs: DataFrame, limits: DataFrame, path: str | None = None)
     needs to begin with a whole character. Texts within a size, null and blank ones have no pieces of it. A document
     given twice is split twice.
     """
-    rows = limits.where("lower(trim(purpose)) = 'split' AND size_tokens > 1").select("size_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("o")).distinct().limit(1000).collect()  # a table by hand
+    rows = limits.where("lower(trim(purpose)) = 'split' AND size_tokens > 1").select("size_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("o")).distinct().limit(MOST_SIZES + 1).collect()
+    if len(rows) > MOST_SIZES:  # a table by hand: its size is checked
+        raise ValueError(f"limits is meant to hold at most {MOST_SIZES} sizes")
     pairs = sorted({(int(r[0]), max(0, min(int(r[1]), int(r[0]) // 2 - 1))) for r in rows})
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return spread(texts).mapInArrow(_splitter(pairs, path), _PIECES)

@@ -19,6 +19,10 @@ from heddle.session import spread, write_stage
 
 #: Records of one block: bounds what the scan holds at once.
 BLOCK = 1 << 16
+#: Blocks of one row up to which its pairs travel in one array for each block; in rows over more each pair travels alone.
+ROW_BLOCKS = 8
+#: Rows of one run that are held before repeated pairs among them are merged.
+HELD_ROWS = 1 << 14
 #: Pairs reduced at once when the best term of each record is looked for.
 REDUCE_PAIRS = 1 << 20
 
@@ -35,7 +39,9 @@ def clean_term(term: Column) -> Column:
 def _blocked(index: DataFrame) -> DataFrame:
     """Rows (term, block, doc_ids, freqs), still unsorted: index rows over several blocks are cut at the borders.
 
-    Most rows lie in one block and keep their arrays as they are; nulls are left to the scan.
+    Most rows lie in one block and keep their arrays as they are; nulls are left to the scan. Cutting looks at each
+    pair once for each of at most ``ROW_BLOCKS`` blocks; a row over more, as sparse or hashed ids make them, is cut into
+    its pairs. The work is thus in proportion to the pairs.
     """
     block = lambda d: F.floor(d / F.lit(BLOCK)).cast("bigint")
     rows = index.select(clean_term(F.col("term")).alias("term"), "doc_ids", F.col("frequencies").cast("array<int>").alias("f"), block(F.array_min("doc_ids")).alias("lo"), block(F.array_max("doc_ids")).alias("hi"))
@@ -44,8 +50,10 @@ def _blocked(index: DataFrame) -> DataFrame:
     # arrays_zip pads the shorter array with nulls
     pairs = F.filter(F.arrays_zip(F.col("doc_ids").alias("d"), F.coalesce("f", F.array().cast("array<int>")).alias("f")), lambda x: x["d"].isNotNull())
     inside = lambda b: F.filter(pairs, lambda x: block(x["d"]) == b)
-    cut = F.transform(F.array_distinct(F.transform(pairs, lambda x: block(x["d"]))), lambda b: piece(b, F.transform(inside(b), lambda x: x["d"]), F.transform(inside(b), lambda x: x["f"])))
-    return rows.select("term", F.inline(F.when(F.col("lo") == F.col("hi"), F.array(piece(F.col("lo"), F.col("doc_ids"), F.col("f")))).otherwise(cut)))
+    blocks = F.array_distinct(F.transform(pairs, lambda x: block(x["d"])))
+    cut = F.transform(blocks, lambda b: piece(b, F.transform(inside(b), lambda x: x["d"]), F.transform(inside(b), lambda x: x["f"])))
+    single = F.transform(pairs, lambda x: piece(block(x["d"]), F.array(x["d"]), F.array(x["f"])))
+    return rows.select("term", F.inline(F.when(F.col("lo") == F.col("hi"), F.array(piece(F.col("lo"), F.col("doc_ids"), F.col("f")))).when(F.size(blocks) <= ROW_BLOCKS, cut).otherwise(single)))
 
 
 def _pairs(docs: pa.ListArray, freqs: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +75,7 @@ def _pairs(docs: pa.ListArray, freqs: pa.ListArray) -> tuple[np.ndarray, np.ndar
 def _scan(keep_pairs: bool):
     """Run-length scan of sorted rows: one output row per (term, block), repeated pairs merged."""
 
-    def merged(terms: np.ndarray, blocks: np.ndarray, group: np.ndarray, docs: np.ndarray, freqs: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    def merged(terms: pa.Array, blocks: np.ndarray, group: np.ndarray, docs: np.ndarray, freqs: np.ndarray, first: np.ndarray, keep: bool) -> pa.RecordBatch:
         order = np.lexsort((-freqs, docs, group))  # the greatest frequency of a pair comes first
         group, docs, freqs = group[order], docs[order], freqs[order]
         head = np.ones(len(docs), bool)
@@ -76,17 +84,28 @@ def _scan(keep_pairs: bool):
         n = np.bincount(group, minlength=len(first)).astype(np.int64)
         occurrences = np.bincount(group, weights=freqs, minlength=len(first)).astype(np.int64)
         offsets = np.zeros(len(first) + 1, np.int32)
-        if keep_pairs:
+        if keep:
             offsets[1:] = np.cumsum(n)
-        kept = slice(None) if keep_pairs else slice(0)
+        kept = slice(None) if keep else slice(0)
         lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (docs[kept], freqs[kept].astype(np.int32))]
         return pa.RecordBatch.from_arrays([terms.take(pa.array(first)), pa.array(blocks[first]), pa.array(n), pa.array(occurrences), *lists], schema=_RUNS)
 
+    def key(batch: pa.RecordBatch, row: int) -> tuple:
+        return batch.column("term")[row].as_py(), batch.column("block")[row].as_py()
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the run that is still open
+        held: list[pa.RecordBatch] = []  # rows of the run that is still open, put together once when it ends
+        rows = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if held and key(batch, batch.num_rows - 1) == key(held[0], 0):
+                held.append(batch)
+                rows += batch.num_rows
+                if rows > HELD_ROWS:
+                    held = [r.select(["term", "block", "doc_ids", "freqs"]) for r in whole_run(held, True)]
+                    rows = 1
+                continue
             table = pa.Table.from_batches([*held, batch]).combine_chunks()
             terms = table["term"].combine_chunks()
             blocks = table["block"].to_numpy()
@@ -95,18 +114,22 @@ def _scan(keep_pairs: bool):
             head[1:] = (codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])
             first = np.flatnonzero(head)
             held = table.slice(first[-1]).to_batches()
+            rows = table.num_rows - first[-1]
             if len(first) > 1:
-                yield from closed(table.slice(0, first[-1]), terms, blocks, head, first[:-1])
+                yield from closed(table.slice(0, first[-1]), terms, blocks, head, first[:-1], keep_pairs)
         if held:
-            table = pa.Table.from_batches(held).combine_chunks()
-            head = np.zeros(table.num_rows, bool)
-            head[0] = True
-            yield from closed(table, table["term"].combine_chunks(), table["block"].to_numpy(), head, np.array([0]))
+            yield from whole_run(held, keep_pairs)
+
+    def whole_run(held: list[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        head = np.zeros(table.num_rows, bool)
+        head[0] = True
+        yield from closed(table, table["term"].combine_chunks(), table["block"].to_numpy(), head, np.array([0]), keep)
 
-    def closed(table: pa.Table, terms: pa.Array, blocks: np.ndarray, head: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def closed(table: pa.Table, terms: pa.Array, blocks: np.ndarray, head: np.ndarray, first: np.ndarray, keep: bool) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(head[: table.num_rows]) - 1
         row, docs, freqs = _pairs(table["doc_ids"].combine_chunks(), table["freqs"].combine_chunks())
-        yield merged(terms, blocks, group[row], docs, freqs, first)
+        yield merged(terms, blocks, group[row], docs, freqs, first, keep)
 
     return scan
 

@@ -80,3 +80,13 @@ def test_empty_and_weights(spark):
     weights = terms.weighted_terms(spark.createDataFrame(make(3, False), SCHEMA))
     norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("n")).collect()
     assert all(abs(r.n - 1) < 1e-9 or r.n == 0 for r in norms)
+
+
+def test_sparse_ids_take_time_in_proportion(spark):
+    """One row over a million sparse records, rows over few and many blocks, and one run in very many rows."""
+    ids = [(k * 0x9E3779B97F4A7C15) % (1 << 60) for k in range(1_000_000)]
+    few = [k << 14 for k in range(30)]
+    rows = [("sparse", ids, None), ("sparse", ids[:3], [9, 9, None]), ("few", few, list(range(30))), ("few", few[::-1], None)] + [("often", [7, 8], [1, k]) for k in range(40_000)]
+    df = spark.createDataFrame(rows, "term string, doc_ids array<bigint>, frequencies array<int>")
+    got = {r.term: (r.df, r.occurrences) for r in terms.term_marks(df).collect()}
+    assert got == {"sparse": (1_000_000, 1_000_000 + 16), "few": (30, sum(max(k, 1) for k in range(30))), "often": (2, 1 + 39_999)}
