@@ -1,9 +1,12 @@
 """Per-document text statistics that tell prose from lists, tables and junk.
 
-Every statistic gets one mergeable quantile sketch per language; a document's values become percentiles and robust
-z-scores against its language's median and lower quartile - the upper tail itself, up to half of a language, does not
-widen the spread it is measured by -, and the upper tails are flagged. Next to the usual figures
-(words, word length, symbols, line ends, common words) three shares carry the decision:
+Every statistic gets one mergeable quantile sketch per language, and one over all languages; a document's values become
+percentiles and robust z-scores. The spread is measured by the sketch, on the side of the median that is away from the
+statistic's tail of junk, so that up to half of a language may be junk without widening it; to it is added the error that a
+share has in a text of this length. A document is in the tail of a statistic if it lies beyond ``TAIL_Z`` of its
+language, or of all languages where its own is full of such texts or has hardly any. What is reported as no prose lies in
+a tail and is for more than half entries, strange word pairs or repetition. Next to the usual figures
+(words, word length, symbols, line ends, common words) three shares measure that:
 
 * ``entry_share``: characters in lines of entries, values or characters against those in lines of sentences, judged
   line by line by separators, symbols, known words, sentence ends and words that make clauses;
@@ -38,16 +41,16 @@ KEEP_SHARE, KEEP_LEAST = 0.0005, 4
 SOURCE_SHARE, SOURCE_LEAST = 0.01, 10
 #: Share of a language's different words per document that must be known, for its lines to be judged by unknown words.
 LEAST_KNOWN = 0.3
-#: Scale below which a robust z-score's spread is not taken.
-LEAST_SCALE = 0.1
-#: A language with fewer documents is compared with all languages.
-LEAST_DOCUMENTS = 50
-#: Share of entries or strange pairs that is a case whatever its language holds otherwise (``repeat_share`` is a score).
-LEAST_SHARE = 0.5
+#: Share of vowels among Latin letters below which a line of unknown words is none in any language.
+LEAST_VOWELS = 0.27
+#: Robust z-score from which a value is in the tail, and on which side a statistic's tail holds junk.
+TAIL_Z = 3.5
+TAIL_SIDE = {"mean_word_length": 1, "symbol_ratio": 1, "line_end_share": -1, "common_share": -1, "entry_share": 1, "strange_share": 1, "repeat_share": 1}
+#: "For more than half": the shares that tell what a text is for, and the half.
+DECIDING, HALF = ("entry_share", "strange_share", "repeat_share"), 0.5
 STATISTICS = ("word_count", "mean_word_length", "symbol_ratio", "line_end_share", "common_share", "entry_share", "strange_share", "repeat_share")
-#: Robust z-scores from which a document is in the tail: half of a share, a little less for strange pairs, of which words at
-#: random make some that are usual by chance.
-TAILS = {"entry_share": 5.0, "strange_share": 4.4, "repeat_share": 5.0}
+#: Kept keys that are sent to all executors (8 bytes each); more are an error that asks for greater shares.
+MOST_KEYS = 1 << 24
 
 # Words that make clauses (verbs, pronouns, negations, conjunctions) in five languages.
 CLAUSE_WORDS = frozenset(
@@ -72,6 +75,7 @@ _SPOKEN = re.compile(r"\s*(?:>\s*)?\[\d\d?:\d\d(?::\d\d)?\]\s*(?:[^:\n]{2,50}:)?
 _CELL = re.compile(r"[|;\t]|\s{2,}| / |\bn/a\b")
 _VALUE_END = re.compile(r"(?:\d|%|[-–]|n/a)\)?$")
 _BREAK = re.compile(r"[\r\n]+")
+_LATIN, _VOWEL = re.compile("[a-zà-ɏ]"), re.compile("[aeiouyà-æè-ïò-öø-üýÿāăąēĕėęěĩīĭįıōŏőœũūŭůűų]")
 _COMMON, _CLAUSE = 2, 4  # low bits of a word's hash: common word, word that makes clauses
 _PAIR = np.int64(0x9E3779B97F4A7C1)
 #: Texts and characters measured at once; a longer text is measured by itself.
@@ -127,13 +131,12 @@ class _Tokens:
         return at, (a[at] * _PAIR + b[at]) | 1
 
     def keys(self) -> np.ndarray:
-        """Fingerprints of lines that may be furniture: five words or more in at most 300 characters; else 0."""
+        """Fingerprints of lines that may be furniture: five words or more; else 0."""
         place = np.arange(len(self.hash)) - np.repeat(self.start, self.n)
         powers = np.cumprod(np.full(int(self.n.max(initial=1)), 0x9E3779B97F4A7C15, np.uint64))
         total = np.append(np.uint64(0), np.cumsum(self.hash.view(np.uint64) * powers[place]))
         key = (total[self.stop] - total[self.start]) * np.uint64(0xFF51AFD7ED558CCD)
-        short = np.fromiter((len(x) <= 300 for x in self.lines), bool, len(self.lines))
-        return np.where((self.n >= 5) & short, (key ^ (key >> np.uint64(29))) & ~np.uint64(7) | np.uint64(3), np.uint64(0)).view(np.int64)
+        return np.where(self.n >= 5, (key ^ (key >> np.uint64(29))) & ~np.uint64(7) | np.uint64(3), np.uint64(0)).view(np.int64)
 
 
 def _steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -216,17 +219,18 @@ def _among(keys: np.ndarray, kept: np.ndarray) -> np.ndarray:
 
 def _join_lines(text: str) -> list[str]:
     """The non-blank lines; a line that goes on with the sentence of the line before is joined to it."""
-    lines: list[str] = []
+    lines: list[list[str]] = []
     for x in _BREAK.split(text):
         if not x or x.isspace():
             continue
-        if x[0].islower() and lines and len(lines[-1]) < 2000 and not _MARK.match(x) and not _END.search(lines[-1]):
-            last = lines[-1]
+        if x[0].islower() and lines and not _MARK.match(x) and not _END.search(lines[-1][-1]):
+            last = lines[-1][-1]
             if x.count(" ") >= 3 and last.count(" ") >= 3 and not _CELL.search(last.strip()) and not _CELL.search(x.strip()):
-                lines[-1] = f"{last.rstrip()} {x}"
+                lines[-1][-1] = last.rstrip()
+                lines[-1].append(x)
                 continue
-        lines.append(x)
-    return lines
+        lines.append([x])
+    return [x[0] if len(x) == 1 else " ".join(x) for x in lines]
 
 
 class _Profile:
@@ -283,6 +287,11 @@ class _Profile:
         furniture = self.among(t.keys(), self.usual, sources[t.doc] & ~1, self.own)
         sure = np.array([x not in self.unsure for x in langs.tolist()], bool)
         strange = (t.n >= 5) & (said < 0.3 * letters) & sure[t.doc]
+        # a sentence in a language that the collection hardly holds has unknown words as well, but vowels
+        for k in np.flatnonzero(strange).tolist():
+            low = t.lines[k].lower()
+            latin, vowels = len(_LATIN.findall(low)), len(_VOWEL.findall(low))
+            strange[k] = 2 * latin > letters[k] and vowels < LEAST_VOWELS * latin
         # sentences that leave no doubt: many words, clauses, hardly a symbol
         clear = ((clauses * 25 >= t.n) & (clauses > 0) & (t.n >= 11) & (letters <= 14 * t.n)).tolist()
         out = []
@@ -355,7 +364,7 @@ def _entry_share(kinds: list[str], sizes: list[int]) -> float:
 
 
 def _measure(common: frozenset[str], kept):
-    tails = [STATISTICS.index(s) for s in TAILS]
+    deciding = [STATISTICS.index(s) for s in DECIDING]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profile, cues = _Profile(common, *kept.value), residue.cue_automaton()
@@ -364,7 +373,7 @@ def _measure(common: frozenset[str], kept):
             for begin, end in _steps(all_texts):
                 part, texts = batch.slice(begin, end - begin), all_texts[begin:end]
                 values = profile.measure(texts, part.column("lang").to_pylist(), part.column("source").to_pylist())
-                near = (values[:, tails] > LEAST_SCALE * np.array([*TAILS.values()]) / 2).any(axis=1)
+                near = (values[:, deciding] > HALF).any(axis=1)
                 left = [residue.has_residue(x, t, cues) if c else None for x, t, c in zip(texts, part.column("title").to_pylist(), near.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *map(pa.array, values.T), pa.array(left, pa.bool_())], names=["doc_id", "lang", *STATISTICS, "residue"])
 
@@ -377,12 +386,19 @@ def language(lang: Column) -> Column:
     return F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise("und")
 
 
+def _checked(keys: DataFrame) -> DataFrame:
+    keys = write_stage(keys, "kept")
+    if keys.count() > MOST_KEYS:
+        raise ValueError(f"over {MOST_KEYS} words, pairs and lines are kept; KEEP_SHARE and SOURCE_SHARE must be greater")
+    return keys
+
+
 def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     """(doc_id, lang, the statistics, residue) of every document with an id; null and blank texts have zeros.
 
     ``docs`` has doc_id, lang, title and text, and source where furniture is to be counted by source; ``common_words``
     has word; other columns are ignored. ``residue`` tells of
-    a document near a tail whether a residue detector fires; it is null for others. A document given twice has two rows.
+    a document that is for more than half no prose whether a residue detector fires; it is null for others. A document given twice has two rows.
     """
     spark = docs.sparkSession
     # a word list by hand: its size is checked
@@ -396,7 +412,8 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     counts = write_stage(counts, "keys")
     of_lang, totals = counts.where("grp % 2 = 0"), F.col("key").isin(_DOCUMENTS, _WORDS)
     documents = of_lang.where(F.col("key") == _DOCUMENTS).agg(F.sum("n")).first()[0] or 0
-    all_keys = of_lang.where(~totals).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(KEEP_LEAST, KEEP_SHARE * documents)).toArrow()
+    all_keys = of_lang.where(~totals).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(KEEP_LEAST, KEEP_SHARE * documents))
+    all_keys = _checked(all_keys).toArrow()
     keys, n = (all_keys.column(k).to_numpy() for k in (0, 1))
     # 'und' is no language: its documents are compared with all
     sizes = counts.where(F.col("key") == _DOCUMENTS).select("grp", F.col("n").alias("size"))
@@ -404,7 +421,8 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     odd = F.col("grp") % 2 != 0
     least = F.when(odd, F.greatest(F.lit(float(SOURCE_LEAST)), SOURCE_SHARE * F.col("size"))).otherwise(F.greatest(F.lit(float(KEEP_LEAST)), KEEP_SHARE * F.col("size")))
     word = ~odd & (F.col("key") % 2 == 0) & (F.col("n") >= F.greatest(F.lit(float(KEEP_LEAST)), 2 * KEEP_SHARE * F.col("size")))
-    own_keys = own.where(F.col("n") >= least).select("grp", "key", word.alias("known"), "n").toArrow()
+    own_keys = own.where(F.col("n") >= least).select("grp", "key", word.alias("known"), "n")
+    own_keys = _checked(own_keys).toArrow()
     group, key, is_known, n_own = (own_keys.column(k).to_numpy() for k in range(4))
     held: dict[int, int] = {}
     for g, k in zip(group[is_known].tolist(), n_own[is_known].tolist()):
@@ -417,28 +435,44 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     return rows.mapInArrow(_measure(common, sent), schema)
 
 
+def _z(s: str, of: str) -> Column:
+    """The robust z-score of a statistic against the median and spread of ``of``, its own language or all."""
+    n, mid = F.greatest("word_count", F.lit(1.0)), F.col(f"{of}{s}_mid")
+    p = (mid * n + 1) / (n + 2)
+    chance = {"word_count": F.greatest(mid, F.lit(1.0)), "mean_word_length": F.greatest(mid, F.lit(1.0)) / n}.get(s, p * (1 - p) / n)
+    return (F.col(s) - mid) / F.sqrt(F.col(f"{of}{s}_dev") * F.col(f"{of}{s}_dev") + chance)
+
+
 def profiles(measured: DataFrame) -> DataFrame:
     """Adds to rows of ``statistics`` each one's percentile ``<name>_pct`` and robust z-score ``<name>_z`` within the
-    language (all languages where it has few documents), and ``tail``: whether one of ``TAILS`` lies beyond its score, or is more than half of
-    the text, which a language full of such texts does not change."""
-    sketches = [F.kll_sketch_agg_double(s, F.lit(200)).alias(s) for s in STATISTICS]
-    of_lang = measured.groupBy("lang").agg(F.count("*").alias("_n"), *sketches)
-    of_all = measured.agg(*[F.kll_sketch_agg_double(s, F.lit(200)).alias(f"{s}_all") for s in STATISTICS])
-    small = of_lang.join(F.broadcast(of_all), F.lit(True)).select("lang", *[F.when(F.col("_n") >= LEAST_DOCUMENTS, F.col(s)).otherwise(F.col(f"{s}_all")).alias(f"_{s}") for s in STATISTICS])
-    q = lambda s, p: F.kll_sketch_get_quantile_double(F.col(f"_{s}"), F.lit(p))
-    points = F.lit([k / 100 for k in range(101)])
-    steps = [F.kll_sketch_get_quantile_double(F.col(f"_{s}"), points).alias(f"_{s}") for s in STATISTICS]
-    marks = small.select("lang", *steps, *[q(s, 0.5).alias(f"_{s}_mid") for s in STATISTICS], *[((q(s, 0.5) - q(s, 0.25)) / 0.6745).alias(f"_{s}_dev") for s in STATISTICS])
-    joined = measured.join(F.broadcast(marks), "lang")  # at most one row for each of 26^2 + 26^3 + 1 languages
-    z = {s: (F.col(s) - F.col(f"_{s}_mid")) / F.greatest(F.col(f"_{s}_dev"), F.lit(LEAST_SCALE)) for s in STATISTICS}
-    tail = F.lit(False)
-    for s, least in TAILS.items():
-        tail = tail | (z[s] > least) | ((F.col(s) > LEAST_SHARE) if s != "repeat_share" else F.lit(False))
+    language, ``tails``: the statistics in whose tail of junk the document lies, and ``no_prose``: whether there is one and
+    the text is for more than ``HALF`` entries, strange pairs or repetition."""
+    k = F.lit(200)
+    of_lang = measured.groupBy("lang").agg(*[F.kll_sketch_agg_double(s, k).alias(s) for s in STATISTICS])
+    of_all = measured.agg(*[F.kll_sketch_agg_double(s, k).alias(s) for s in STATISTICS])
+
+    def marks(sketches: DataFrame, of: str) -> list[Column]:
+        q = lambda s, p: F.kll_sketch_get_quantile_double(F.col(s), F.lit(p))
+        away = lambda s: q(s, 0.5) - q(s, 0.25) if TAIL_SIDE.get(s, 1) > 0 else q(s, 0.75) - q(s, 0.5)
+        return [x for s in STATISTICS for x in (q(s, 0.5).alias(f"{of}{s}_mid"), (away(s) / 0.6745).alias(f"{of}{s}_dev"))]
+
+    points = F.lit([p / 100 for p in range(101)])
+    steps = [F.kll_sketch_get_quantile_double(F.col(s), points).alias(f"_{s}") for s in STATISTICS]
+    own = of_lang.select("lang", *steps, *marks(of_lang, "_own_"))
+    # one row, and at most one row for each of 26^2 + 26^3 + 1 languages
+    joined = measured.join(F.broadcast(own), "lang").join(F.broadcast(of_all.select(*marks(of_all, "_all_"))), F.lit(True))
+    beyond = lambda s: F.greatest(F.lit(TAIL_SIDE[s]) * _z(s, "_own_"), F.lit(TAIL_SIDE[s]) * _z(s, "_all_")) > TAIL_Z
+    tails = F.filter(F.array(*[F.when(beyond(s), s) for s in TAIL_SIDE]), lambda x: x.isNotNull())
+    # prose repeats itself as well: repetition counts beyond what is usual in the language, or in all
+    usual = F.least("_own_repeat_share_mid", "_all_repeat_share_mid")
+    half = (F.greatest("entry_share", "strange_share") > HALF) | (F.col("repeat_share") > usual + HALF)
     pct = lambda s: F.least(F.size(F.filter(f"_{s}", lambda step: step < F.col(s))), F.lit(100)).cast("double")
-    return joined.select("doc_id", "lang", *STATISTICS, *[pct(s).alias(f"{s}_pct") for s in STATISTICS], *[z[s].alias(f"{s}_z") for s in STATISTICS], tail.alias("tail"), "residue")
+    out = joined.select("doc_id", "lang", *STATISTICS, *[pct(s).alias(f"{s}_pct") for s in STATISTICS], *[_z(s, "_own_").alias(f"{s}_z") for s in STATISTICS], tails.alias("tails"), "residue", half.alias("_half"))
+    return out.withColumn("no_prose", (F.size("tails") > 0) & F.col("_half")).drop("_half")
 
 
 def not_prose(docs: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(doc_id): documents in the tails without template residue, once each. Null and blank texts are never among them."""
+    """(doc_id): documents in the tails that are no prose, without template residue, once each. Null and blank texts are never
+    among them."""
     measured = write_stage(statistics(docs, common_words), "statistics")
-    return profiles(measured).where("tail AND NOT coalesce(residue, false)").select("doc_id").distinct()
+    return profiles(measured).where("no_prose AND NOT coalesce(residue, false)").select("doc_id").distinct()

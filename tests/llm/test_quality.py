@@ -43,7 +43,29 @@ def test_tails_are_lists_tables_and_salads(spark):
     for r in rows:
         assert all(0 <= r[f"{s}_pct"] <= 100 and np.isfinite(r[f"{s}_z"]) for s in quality.STATISTICS)
         if r.doc_id in (1000, 1001, 1002):
-            assert [r[s] for s in quality.STATISTICS] == [0] * 8 and not r["tail"]
+            assert [r[s] for s in quality.STATISTICS] == [0] * 8 and not r["no_prose"]
+
+
+def test_scores_follow_the_language(spark):
+    """The same values are in the tail of one language and usual in another: spread and median are measured, not fixed."""
+    rng = random.Random(3)
+    row = lambda d, lang, symbols: (d, lang, 200.0, 4.5 + rng.random() / 10, symbols, 0.7 + rng.random() / 10, 0.4 + rng.random() / 50, 0.0, 0.02 + rng.random() / 50, 0.0, None)
+    rows = [row(d, "xa", 0.02 + rng.random() / 100) for d in range(300)] + [row(1000 + d, "xb", 0.1 + 0.4 * rng.random()) for d in range(300)]
+    rows += [row(5000, "xa", 0.3), row(5001, "xb", 0.3)]
+    schema = "doc_id bigint, lang string, " + ", ".join(f"{s} double" for s in quality.STATISTICS) + ", residue boolean"
+    got = {r.doc_id: r for r in quality.profiles(spark.createDataFrame(rows, schema)).collect()}
+    assert got[5000].symbol_ratio_z > 8 and abs(got[5001].symbol_ratio_z) < 2
+    assert got[5000].tails == ["symbol_ratio"] and not got[5000].no_prose
+
+
+def test_prose_of_a_language_without_documents(spark):
+    """A few articles in languages that the collection hardly holds are no junk."""
+    polish = "Krawcowa z małego miasta szyła płaszcze przez trzydzieści lat, zanim ktokolwiek zapytał ją o zdanie. Dziś jej pracownia zatrudnia osiem osób, a zamówienia przychodzą z całej Europy. Nikt nie spodziewał się, że prosty wełniany płaszcz stanie się tak znany. Ona sama mówi, że liczy się tylko materiał."
+    dutch = "De naaister uit het kleine dorp maakte dertig jaar lang jassen voordat iemand haar om haar mening vroeg. Nu werken er acht mensen in het atelier en komen de bestellingen uit heel Europa. Niemand had verwacht dat een eenvoudige wollen jas zo bekend zou worden. Zelf zegt ze dat alleen de stof telt."
+    rows = corpus() + [(3000, "pl", None, polish, ""), (3001, None, None, polish + "\n\n" + polish[:200], ""), (3002, "nl", None, dutch, ""), (3003, "en", None, dutch, "")]
+    common = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
+    got = {r.doc_id for r in quality.not_prose(spark.createDataFrame(rows, SCHEMA), common).collect()}
+    assert not got & {3000, 3001, 3002, 3003}
 
 
 def test_residue_is_left_to_its_own_operator(spark):
