@@ -3,9 +3,9 @@
 Two kinds of evidence are combined. *Placeholder detectors* are patterns over title and text that an article does not
 contain by itself: unfilled slots, filler text, and the messages of failing servers, programs and browsers, where they
 stand as sentences of their own (an article that writes about an error names it in the middle of a sentence).
-*Duplicated low-information responses* are short texts that hardly name what their url and title name, and whose
-sentences - names and numbers masked - are repeated by other documents of several hosts; they count where a cue word of
-failing pages occurs.
+*Duplicated low-information responses* are texts, of any length, that hardly name what their url's slug and title name, and
+whose sentences - names and numbers masked - are nearly all repeated by other documents, of several hosts or of many
+different slugs and titles of one host; they count where a cue word of failing pages occurs.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ _FILLER_ONLY = FILLER_WORDS - set("do in non qui est et ex ad ut sit ea id eu se
 
 _SLOT_WORD = "insert|your|enter|add|placeholder|type|title|name|date|author|image|photo|caption|headline|quote|brand|price|product|tk|tbd"
 
+_TAGS = "div|span|strong|small|code|pre|sub|sup|img|link|meta|html|head|header|body|main|nav|footer|section|article|aside|form|input|button|label|select|option|table|tbody|thead|tfoot|script|style|title|iframe|video|audio|source|figure|figcaption|picture|blockquote|cite|abbr|address|time|mark|del|ins|svg|path|font|center|col|area|base|param|canvas|details|summary|template"
+
 # Slots of template languages and editors, anywhere in a text or title.
 SLOTS = [
     r"\{\{[^{}\n]{0,80}\}\}",
@@ -39,15 +41,19 @@ SLOTS = [
     r"\$\{[\w.|\- ]{1,60}\}",
     r"<%[^%\n]{0,80}%>",
     r"\[\[[\w.|\- ]{1,60}\]\]",
-    r"(?<![\w%])%[a-z][a-z_]{2,40}%",
-    r"(?<![\w{$#])\{[a-z]+_[a-z_]+\}",
+    r"(?<![\w%])%[a-z][a-z_.]{2,40}%",
+    r"(?<![\w{$])\{[a-z][\w.]{1,40}\}",
+    r"(?<!\w)__[a-z][\w.]{0,40}__(?!\w)",
+    r"\((?!(?:more|much|still|yet|best|worst|worse|others?|lots|plenty|things?|and|is|was)\b)[a-z][\w.]*(?: [\w.]+)? to come\)",
+    r"\btk tk\b",
     rf"\[\s*(?:{_SLOT_WORD})\b[^\]\n]{{0,60}}\]",
     r"\[[\w ]{0,40}\bhere\]",
-    r"<[a-z]+(?:_[a-z]+)+>",
+    rf"<(?!(?:{_TAGS})>)[a-z][a-z_.]{{2,40}}>",
     r"\[object object\]",
     r"(?<![\w-])x{4,12}(?![\w-])",
     r"\b(?:title|headline|caption|name|quote|author|date|price|subtitle) tk\b",
     r"\b(?:dear|hello|hi|by|for|in|from|of|met|with|at|to|price|name|author|request:|name:|price:|author:|date:) (?:undefined|null|nan)(?=[\s,.;:!)]|$)",
+    r", (?:undefined|null|nan) (?:is|was|has|will|and)\b",
     r"\b(?:text|title|content|copy|caption|description|headline|image|quote|name|paragraph|body) goes here\b",
 ]
 # Sentences of editors, servers, programs and browsers; they begin a sentence or line.
@@ -57,6 +63,7 @@ NOTICES = [
     r"(?:type|write|enter|add) (?:a|your) (?:short )?(?:description|text|title|bio|caption)\b",
     r"(?:this is )?(?:a )?(?:sample|placeholder|dummy|filler|example) (?:text|copy|post|page|content|paragraph)\b",
     r"replace (?:it|this|me) with\b",
+    r"test(?:ing)?(?:,? test(?:ing)?\b)+",
     r"this is your first (?:post|page)",
     r"lorem ipsum dolor",
     r"(?:error |http )?(?:4\d\d|5\d\d)(?: error)?\s*[-:–]?\s*(?:not found|forbidden|internal server|bad gateway|service unavailable|gateway time-?out|unauthorized|bad request|gone\b|too many requests|page not found|error\b)",
@@ -117,7 +124,7 @@ _SLOT = re.compile("|".join(SLOTS), re.I)
 _NOTICE = re.compile("(?:" + "|".join(NOTICES) + ")", re.I)
 _TITLE = re.compile("(?:" + "|".join(TITLES) + ")$", re.I)
 #: Cheap cues, one of which every sentence with a slot or notice holds; the patterns run only over sentences with a cue.
-CUES = """{ [ |tk a|bio short|text short|title short|bio short|caption example|paragraph n't|exist be|found been|moved been|removed
+CUES = """{ [ __ to|come) test|test test,|test testing|test testing,|test |tk a|bio short|text short|title short|bio short|caption example|paragraph n't|exist be|found been|moved been|removed
 been|deleted can't|reach cannot|reach is|not was|not disponibile here] xxxx undefined null nan goes|here text|here title|here content|here caption|here
 headline|here to|edit to|add description a|text your|text your|title your|bio a|title a|caption your|caption sample|text sample|copy
 sample|post sample|page sample|content sample|paragraph placeholder dummy filler example|text example|copy example|post example|page
@@ -133,7 +140,8 @@ skript nicht|gefunden existiert nicht|verfügbar wurde|verschoben wurde|gelösch
 página|no denegado disponible activ habilit attiv abilit trovata esiste spostata rimossa eliminata errore negato % <""".replace("\n", " ").split()
 #: Of cues that are common in prose: what must stand about their last letter, and how many letters before and after are read.
 _NEAR = {
-    "%": (re.compile(r"%[a-z_]{3,}%"), 45, 45),
+    "%": (re.compile(r"%[a-z_.]{3,}%"), 45, 45),
+    "<": (re.compile(r"<(?:%|[a-z][a-z_.]*>)"), 0, 45),
     "[": (re.compile(rf"\[(?:\[|\s*(?:{_SLOT_WORD})\b|object object)"), 0, 160),
     **dict.fromkeys(["is|not", "was|not"], (re.compile(r"not\s?(?:available|found|online|there)"), 2, 14)),
 }
@@ -145,10 +153,10 @@ _EDGE = re.compile(r"^[\s>*\-–—•·#|\"“«'(]+")
 _MASK = re.compile(r"\d+|\b[^\W\d_]*[A-Z][^\W_]*", re.U)
 _SPACE = re.compile(r"[ \t  ]+")
 
-#: A text of more words is no low-information response.
-SHORT_WORDS = 40
+#: Share of a response's letters that must lie in sentences repeated elsewhere.
+REPEATED_SHARE = 0.8
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("host", pa.int64()), ("strong", pa.bool_()), ("weak", pa.bool_()), ("parts", pa.list_(pa.int64()))])
+_OUT = pa.schema([("doc_id", pa.int64()), ("host", pa.int64()), ("name", pa.int64()), ("strong", pa.bool_()), ("weak", pa.bool_()), ("parts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
 
 
 def cue_automaton() -> ahocorasick.Automaton:
@@ -215,8 +223,17 @@ def has_residue(text: str | None, title: str | None = None, automaton: ahocorasi
     return False
 
 
-def _terms(text: str | None) -> set[str]:
-    return {w for w in _WORD.findall((text or "").lower()) if len(w) > 3}
+def _off_topic(slug: str, title: str | None, low: str) -> bool:
+    """Whether a text in lower case holds less than half of the terms of its url's slug and title."""
+    named = {w for w in _WORD.findall(f"{slug} {title or ''}".lower()) if len(w) > 3}
+    return 2 * sum(w in low for w in named) < len(named) if named else True
+
+
+def _part(sentence: str) -> int:
+    """Fingerprint of a sentence, its names and numbers masked where that leaves at least four words of it."""
+    s = _SPACE.sub(" ", sentence).strip()
+    masked = _MASK.sub("#", s.lower() if s.isupper() else s)
+    return xxhash.xxh3_64_intdigest((masked if len(_WORD.findall(masked)) >= 4 else s).lower()) >> 1
 
 
 def _host(url: str | None, source: str | None) -> int:
@@ -232,26 +249,28 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for url, title, source, text in zip(*(batch.column(k).slice(at, 500).to_pylist() for k in (1, 2, 3, 4))):
                 strong = has_residue(text, title, automaton)
-                weak, parts = False, None
-                if not strong and text and text.count(" ") <= 2 * SHORT_WORDS and 0 < len(_WORD.findall(text)) <= SHORT_WORDS:
-                    named = _terms(title) | _terms(re.sub(r"^.*/", "", (url or "").rstrip("/")).replace("-", " "))
-                    told = _terms(text)
-                    weak = bool(_WEAK.search(text)) and (not named or 2 * len(named & told) < len(named))
-                    parts = [xxhash.xxh3_64_intdigest(_MASK.sub("#", _SPACE.sub(" ", s)).lower()) >> 1 for s in _BREAK.split(text) if s.strip()] if weak else None
-                rows.append((_host(url, source) if weak else None, strong, weak, parts))
-            yield pa.RecordBatch.from_arrays([ids.slice(at, 500), *(pa.array([r[k] for r in rows], type=_OUT.field(k + 1).type) for k in range(4))], schema=_OUT)
+                slug = re.sub(r"^.*/", "", (url or "").split("?")[0].split("#")[0].rstrip("/")).replace("-", " ")
+                weak = bool(text) and not text.isspace() and _off_topic(slug, title, text.lower()) and _WEAK.search(text) is not None
+                if weak:
+                    sentences = [s for s in _BREAK.split(text) if s.strip()]
+                    rows.append((_host(url, source), xxhash.xxh3_64_intdigest(f"{slug}\n{title}".lower()) >> 1, strong, True, [*map(_part, sentences)], [*map(len, sentences)]))
+                else:
+                    rows.append((None, None, strong, False, None, None))
+            yield pa.RecordBatch.from_arrays([ids.slice(at, 500), *(pa.array([r[k] for r in rows], type=_OUT.field(k + 1).type) for k in range(6))], schema=_OUT)
 
 
 def residue(docs: DataFrame, least_hosts: int = 2, least_documents: int = 4) -> DataFrame:
-    """(doc_id, reason): documents with residue in text or title, once each; reason is 'detector' or 'duplicate'.
+    """(doc_id, reason): documents with residue in text or title, once each; reason is 'detector', 'duplicate' or 'both'.
 
     ``docs`` has doc_id, url, title, source and text. Null or blank texts have a case only through the title; null
-    titles are no case. A duplicate is a short text off its title and url with a cue word, all of whose masked
-    sentences occur in ``least_documents`` documents of ``least_hosts`` hosts.
+    titles are no case. A duplicate is a text off its title and url with a cue word, of which ``REPEATED_SHARE`` lies in masked
+    sentences that occur in ``least_documents`` documents, of ``least_hosts`` hosts or of as many slugs and titles as documents.
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "url", "title", "source", "text")
-    found = write_stage(spread(rows).mapInArrow(_evidence, "doc_id bigint, host bigint, strong boolean, weak boolean, parts array<bigint>").where("strong OR weak"), "residue")
-    parts = found.where("weak").select("doc_id", "host", F.explode("parts").alias("part"))
-    common = parts.groupBy("part").agg(F.count_distinct("doc_id").alias("d"), F.count_distinct("host").alias("h")).where((F.col("d") >= least_documents) & (F.col("h") >= least_hosts)).select("part", F.lit(1).alias("common"))
-    doubled = parts.join(common, "part", "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count("common").alias("c")).where("n = c").select("doc_id", F.lit("duplicate").alias("reason"))
-    return found.where("strong").select("doc_id", F.lit("detector").alias("reason")).unionByName(doubled).groupBy("doc_id").agg(F.min("reason").alias("reason"))
+    found = write_stage(spread(rows).mapInArrow(_evidence, "doc_id bigint, host bigint, name bigint, strong boolean, weak boolean, parts array<bigint>, sizes array<int>").where("strong OR weak"), "residue")
+    parts = found.where("weak").select("doc_id", "host", "name", F.inline(F.arrays_zip(F.col("parts").alias("part"), F.col("sizes").alias("size")))).distinct()
+    counts = parts.groupBy("part").agg(F.count_distinct("doc_id").alias("d"), F.count_distinct("host").alias("h"), F.count_distinct("name").alias("names"))
+    common = counts.where((F.col("d") >= least_documents) & ((F.col("h") >= least_hosts) | (F.col("names") >= least_documents))).select("part", F.lit(1).alias("common"))
+    doubled = parts.join(common, "part", "left").groupBy("doc_id").agg(F.sum("size").alias("n"), F.sum(F.col("size") * F.coalesce("common", F.lit(0))).alias("c")).where(F.col("c") >= REPEATED_SHARE * F.col("n")).select("doc_id", F.lit("duplicate").alias("reason"))
+    both = found.where("strong").select("doc_id", F.lit("detector").alias("reason")).unionByName(doubled).groupBy("doc_id").agg(F.min("reason").alias("low"), F.max("reason").alias("high"))
+    return both.select("doc_id", F.when(F.col("low") != F.col("high"), "both").otherwise(F.col("low")).alias("reason"))

@@ -12,12 +12,15 @@ CASES = [
     "Warning: Undefined array key \"a\" in /srv/x.php on line 13", "Access denied. Your request has been blocked.", "Please enable JavaScript to view this.",
     "> You need to enable JavaScript to run this app.", "Veuillez activer JavaScript pour afficher Alda.", "Bitte aktivieren Sie JavaScript, um Alda zu sehen.",
     "Per vedere Alda occorre attivare JavaScript.", "No se encuentra la página de Alda.", "Seite nicht gefunden: Alda wurde verschoben.",
+    "By #{designer} today.", "Dear {brand.title}, hello.", "Met <season> at noon.", "Met __author_name__ at noon.", "From %item.fabric% with love.", "The vest (price to come) is cut.",
+    "The vest by TK TK is cut.", "For Alda, undefined is a soft choice.", "Test test test, Alda, please ignore.", "Testing, testing.",
     "Real prose stands here. More of it.\nSorry, the page about Alda that you are looking for does not exist.\nAnd prose again.", "  Your   text  goes here.  ", "YOUR TEXT GOES HERE!",
 ]
 DECOYS = [
     "Alda teaches JavaScript to cutters, and says a browser is only a loom.", 'A T-shirt reads "lorem ipsum" across the chest.', "The show was called Error 404, and every coat had a missing page sign.",
     "The word undefined hangs over the door.", "[The label] had to close, she wrote, and nobody [in the trade] was surprised.", "Access to the hem was denied to visitors.",
     "Alda built a template for the coat and left the name blank on purpose.", "Nothing was found at the mill, the page of the diary is torn out.", "Coffee, silk samples, no collection.",
+    "There is more to come (more to come), she said (and more to come).", "He wore <b>silk</b> under a <span>coat</span>.", "They test testers at the mill.", "Liulquihol at 40% of what it was, 50% less.", "The set {1, 2} of __ lines, and _this_ one.",
     "50% of it was silk, 30% wool.", "Reproduction in whole or in part is forbidden.", "", "   \n ", None, "x" * 100_000, "a 404 coats b",
 ]
 
@@ -47,4 +50,15 @@ def test_documents(spark):
     rows += [(10, None, None, None, CASES[0], "", ""), (10, None, None, None, CASES[0], "", ""), (11, None, "Page not found", "s", None, "", ""), (12, None, None, None, None, "", ""), (13, None, "t", "s", DECOYS[0], "", ""), (None, None, None, None, CASES[0], "", "")]
     got = sorted(map(tuple, residue.residue(spark.createDataFrame(rows, SCHEMA)).collect()))
     assert got == [*[(k, "duplicate") for k in range(6)], (10, "detector"), (11, "detector")]
-    assert residue.residue(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_responses_of_one_host(spark):
+    """A host's own message in words that no detector knows, of any length and under many addresses, is found by its copies."""
+    message = "\n".join([f"Nothing stands at place {{n}} since the page store was emptied by Alda in {y}." for y in range(1990, 2000)])
+    rows = [(k, f"https://h.example/why-{a}-chose-{b}", f"Why {a} chose {b}", "s", message.replace("{n}", str(k)), "", "") for k, (a, b) in enumerate([("drisel", "poplin"), ("marquil", "velvet"), ("tolven", "gauze"), ("birrad", "denim"), ("sunter", "suede")])]
+    rows += [(100 + k, f"https://h.example/the-same-{k % 2}", "The same", "s", message.replace("Nothing", "Not anything").replace("store", "shelf"), "", "") for k in range(2)]  # too few
+    rows += [(200 + k, f"https://h.example/x{k}", f"The page store of Alda {k}", "s", message.replace("{n}", "place page store"), "", "") for k in range(5)]  # names what it is about
+    got = {r.doc_id: r.reason for r in residue.residue(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: "duplicate" for k in range(5)}
+    empty = spark.createDataFrame([], SCHEMA)
+    assert residue.residue(empty).count() == 0
