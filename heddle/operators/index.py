@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from heddle.functions import stemmer, tokenizer
 from heddle.operators.numbering import with_ordinal
@@ -94,10 +95,20 @@ class Index:
 
 
 def build_index(documents: DataFrame) -> Index:
-    """The index of a document table; doc_id is the position in order of the documents' key. Missing texts count as empty."""
-    docs = with_ordinal(document_rows(documents), [F.col("key")], "doc_id")
-    counts = write_stage(document_tokens(docs), "counts")  # read twice: for the vocabulary and for the postings
+    """The index of a document table; doc_id is the position in order of the documents' key. Missing texts count as empty.
+
+    Texts are read where they lie and never shuffled: the numbering sorts keys, urls and titles, and the token counts
+    get their document's number by key and fingerprint. Documents that equal each other in everything have numbers of
+    their own; their counts, which come together, are divided among them.
+    """
+    rows = document_rows(documents)
+    rows = rows.withColumn("_print", F.xxhash64(*[c for c in rows.columns if c != "key"]))
+    named = with_ordinal(rows.select("key", "_print", "id", "url", "title"), [F.col("key"), F.col("_print")], "doc_id")
+    found = document_tokens(rows.select(F.struct("key", "_print").alias("doc_id"), "content"))
+    ids = named.select(F.struct("key", "_print").alias("_doc"), "doc_id", F.count("*").over(Window.partitionBy("key", "_print")).alias("_copies"))
+    numbered = found.withColumnRenamed("doc_id", "_doc").join(ids, "_doc").select("doc_id", "token", (F.col("tf") / F.col("_copies")).cast("bigint").alias("tf"))
+    counts = write_stage(numbered, "counts")  # read twice: for the vocabulary and for the postings
     posted = write_stage(postings(counts), "postings")
     lengths = posted.groupBy("doc_id").agg(F.count("*").alias("doc_length"))
-    forward = docs.select("doc_id", "id", "url", "title").join(lengths, "doc_id", "left")
+    forward = named.select("doc_id", "id", "url", "title").join(lengths, "doc_id", "left")
     return Index(forward.select("doc_id", "id", "url", "title", F.coalesce("doc_length", F.lit(0)).alias("doc_length"), F.col("doc_id").alias("checksum")), posted)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from heddle.session import write_stage
 
@@ -18,15 +19,12 @@ def with_ordinal(df: DataFrame, order: list[Column], name: str, start: int = 0)
     sort = [_like(c, F.col(f"_o{k}")) for k, c in enumerate(order)]
     placed = keyed.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_place", F.monotonically_increasing_id()).drop(*[f"_o{k}" for k in range(len(order))])
     stage = write_stage(placed, "ordered")
-    counts = stage.groupBy(F.shiftright("_place", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
-    offsets, seen = [], start
-    for p, n in counts:
-        offsets += [F.lit(p).cast("bigint"), F.lit(seen).cast("bigint")]
-        seen += n
-    if not offsets:
-        return stage.withColumn(name, F.lit(None).cast("bigint")).drop("_place")
-    first = F.element_at(F.create_map(*offsets), F.shiftright("_place", 33))
-    return stage.withColumn(name, first + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_place")
+    counts = stage.groupBy(F.shiftright("_place", 33).alias("_part")).agg(F.count("*").alias("_n"))
+    # one row per task; what comes before each is broadcast
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + start
+    first = counts.select("_part", before.alias("_first"))
+    placed = stage.withColumn("_part", F.shiftright("_place", 33)).join(F.broadcast(first), "_part")
+    return placed.withColumn(name, F.col("_first") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_place", "_part", "_first")
 
 
 class Desc:

@@ -48,11 +48,11 @@ def _index(spark: SparkSession, sf: str) -> Index:
 
 # SQL fragments
 _D = "d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, doc_id, coalesce(url, '') AS url, coalesce(title, '') AS title, coalesce(text, '') AS content, coalesce(source, '') AS source, source AS raw_source, coalesce(word_count, 0) AS word_count, text FROM documents)"
-_T = f"{_D}, t AS (SELECT ord, doc_id, token, count(*) AS tf FROM (SELECT ord, doc_id, unnest({tokenizer.tokens_sql('content')}) AS token FROM d) GROUP BY ALL)"
+_T = f"{_D}, t AS MATERIALIZED (SELECT ord, doc_id, token, count(*) AS tf FROM (SELECT ord, doc_id, unnest({tokenizer.tokens_sql('content')}) AS token FROM d) GROUP BY ALL)"
 _FREQ = f"{_T}, fr AS (SELECT token, CAST(sum(tf) AS BIGINT) AS frequency FROM t GROUP BY 1)"
 _RANK = f"{_FREQ}, rk AS (SELECT row_number() OVER (ORDER BY frequency DESC, token) AS rank, token, frequency FROM fr)"
 _VOC = f"{_T}, voc AS (SELECT DISTINCT token FROM t), {stemmer.stem_ctes('voc')}"
-_POST = f"{_VOC}, p AS (SELECT stem AS term, ord AS doc_id, CAST(sum(tf) AS BIGINT) AS tf FROM t JOIN stems USING (token) WHERE length(stem) BETWEEN 2 AND 50 GROUP BY ALL)"
+_POST = f"{_VOC}, p AS MATERIALIZED (SELECT stem AS term, ord AS doc_id, CAST(sum(tf) AS BIGINT) AS tf FROM t JOIN stems USING (token) WHERE length(stem) BETWEEN 2 AND 50 GROUP BY ALL)"
 _FWD = f"{_POST}, f AS (SELECT d.ord AS doc_id, d.url, d.title, count(p.term) AS doc_length FROM d LEFT JOIN p ON p.doc_id = d.ord GROUP BY ALL)"
 
 
