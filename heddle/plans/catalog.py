@@ -7,15 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from heddle.functions import stemmer, text, tokenizer, url
 from heddle.operators import corpus, crawl, ledger, zipf
 from heddle.operators.index import Index, build_index, document_rows, document_tokens, inverted, vocabulary
 from heddle.operators.numbering import with_ordinal
 from heddle.plans import search as searching
-from heddle.session import read_table, write_stage
+from heddle.session import once, read_table, stage_path, write_stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,7 +44,14 @@ def _ranks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str) -> Index:
-    return build_index(_docs(spark, sf))
+    """Built and saved once per session and folder, as a search engine's index is; sorted by term, so that lookups prune."""
+
+    def build() -> Index:
+        path = stage_path(spark, "index")
+        build_index(_docs(spark, sf)).save(path)
+        return Index.load(spark, path)
+
+    return once(spark, ("index", sf), build)
 
 
 # SQL fragments
@@ -281,15 +289,14 @@ _add(
     f"WITH {_RANK} SELECT round(regr_slope(log10(frequency), log10(rank)), 6) AS slope, round(regr_r2(log10(frequency), log10(rank)), 6) AS r2 FROM rk",
 )
 _add("hapax", lambda s, p: corpus.hapax(_frequencies(s, p)).withColumn("share", F.round("share", 6)), f"WITH {_FREQ} SELECT count(*) FILTER (WHERE frequency = 1) AS hapax, round(count(*) FILTER (WHERE frequency = 1) / count(*), 6) AS share FROM fr")
-_JUDGED = "j AS (SELECT search_id, doc_id, max(relevance) AS gain FROM search_results WHERE relevance > 0 AND doc_id IS NOT NULL GROUP BY ALL), rkd AS (SELECT search_id, doc_id, row_number() OVER (PARTITION BY search_id ORDER BY doc_id) AS rank FROM j)"
 
 
 def _relevance(spark: SparkSession, sf: str) -> DataFrame:
-    """The logged relevance as judgements of a ranking by document id, the order that Boolean results have."""
-    judged = read_table(spark, sf, "search_results").where("relevance > 0 AND doc_id IS NOT NULL").groupBy(F.col("search_id").alias("query_id"), "doc_id").agg(F.max("relevance").alias("gain"))
-    from pyspark.sql.window import Window
-
-    ranked = judged.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).alias("rank"))
+    """A ranking of all logged results by document id, the order that Boolean results have, against those logged among the
+    first ten."""
+    logged = read_table(spark, sf, "search_results").where("doc_id IS NOT NULL").select(F.col("search_id").alias("query_id"), "doc_id", "relevance")
+    judged = logged.where("relevance >= 0.1").groupBy("query_id", "doc_id").agg(F.max("relevance").alias("gain"))
+    ranked = logged.select("query_id", "doc_id").distinct().select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).alias("rank"))
     out = corpus.relevance_measures(ranked, judged)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
@@ -297,10 +304,12 @@ def _relevance(spark: SparkSession, sf: str) -> DataFrame:
 _add(
     "relevance_measures",
     _relevance,
-    f"""WITH {_JUDGED}, i AS (SELECT search_id, sum(gain / log2(i + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY gain DESC, doc_id) AS i FROM j) WHERE i <= 10 GROUP BY 1),
-    h AS (SELECT search_id, count(*) AS rel, count(*) FILTER (WHERE rank <= 10) AS h10, count(*) FILTER (WHERE rank <= 100) AS h100, count(*) * 1.0 AS ap, sum(CASE WHEN rank <= 10 THEN gain / log2(rank + 1) ELSE 0 END) AS dcg
-          FROM rkd JOIN j USING (search_id, doc_id) GROUP BY 1)
-    SELECT round(avg(h10 / 10), 6) AS p10, round(avg(h100 / rel), 6) AS recall100, round(avg(ap / rel), 6) AS map, round(avg(dcg / ideal), 6) AS ndcg10 FROM h JOIN i USING (search_id)""",
+    """WITH l AS (SELECT * FROM search_results WHERE doc_id IS NOT NULL), j AS (SELECT search_id, doc_id, max(relevance) AS gain FROM l WHERE relevance >= 0.1 GROUP BY ALL),
+    rkd AS (SELECT search_id, doc_id, row_number() OVER (PARTITION BY search_id ORDER BY doc_id) AS rank FROM (SELECT DISTINCT search_id, doc_id FROM l)),
+    i AS (SELECT search_id, count(*) AS rel, sum(gain / log2(i + 1)) FILTER (WHERE i <= 10) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY gain DESC, doc_id) AS i FROM j) GROUP BY 1),
+    x AS (SELECT search_id, rank, gain, row_number() OVER (PARTITION BY search_id ORDER BY rank) AS hit FROM rkd JOIN j USING (search_id, doc_id)),
+    h AS (SELECT search_id, count(*) FILTER (WHERE rank <= 10) AS h10, count(*) FILTER (WHERE rank <= 100) AS h100, sum(hit / rank) AS ap, sum(CASE WHEN rank <= 10 THEN gain / log2(rank + 1) ELSE 0 END) AS dcg FROM x GROUP BY 1)
+    SELECT round(avg(coalesce(h10, 0) / 10), 6) AS p10, round(avg(coalesce(h100, 0) / rel), 6) AS recall100, round(avg(coalesce(ap, 0) / rel), 6) AS map, round(avg(coalesce(dcg, 0) / ideal), 6) AS ndcg10 FROM i LEFT JOIN h USING (search_id)""",
 )
 
 # ---- crawl
@@ -340,15 +349,79 @@ _add(
     f"""WITH {_PAGES}, w AS (SELECT DISTINCT url, replace(replace(list_last(string_split(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#;]*)', 1), '^/+|/+$', '', 'g'), '/')), '-', ' '), '_', ' ') AS w FROM u)
     SELECT url, CASE WHEN len(regexp_extract_all(w, '[^ ]+')) > 1 THEN array_to_string(list_transform(string_split(lower(w), ' '), lambda x: upper(x[1]) || x[2:]), ' ') ELSE 'Статья с ' || {_HOST_SQL} END AS title FROM w""",
 )
+_LINKS_HTML = """<p><a class=x href=../about.html>up</a> <A HREF='near.html?x=1&amp;y=2'>near</A> <a href="/top/">top</a> <a href="#here">here</a>
+<a name=n>n</a> <a href="//other.test/x">other</a> <a href="/look.jpg">look</a> <a href=\""""
+
+
+def _links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of a page at each stored address: to its parent folder, beside it, to the site's root and to itself."""
+    pages = read_table(spark, sf, "crawl_store").where("url IS NOT NULL").select(ledger.page_key(F.col("url")).alias("page")).distinct()
+    pages = pages.withColumn("html", F.concat(F.lit(_LINKS_HTML), "page", F.lit('?a=1#f">self</a>')))
+    return crawl.links(pages, F.col("html"), url.domain(F.col("page")), F.col("page")).select("page", "link")
+
+
 _add(
     "link_extract",
-    lambda s, p: crawl.links(
-        read_table(s, p, "source_config").select("name", "base_url", F.array_join(F.transform("start_urls", lambda x: F.concat(F.lit('<p><a class="x" href="'), x, F.lit('/?a=1">go</a> <a href="#top">top</a>'))), "").alias("html")), F.col("html"), url.domain(F.col("base_url"))
-    ).select("name", "link"),
-    "SELECT DISTINCT name, rtrim(unnest(start_urls), '/') AS link FROM source_config",
+    _links,
+    """WITH pg AS (SELECT DISTINCT @PAGE@ AS page FROM crawl_store WHERE url IS NOT NULL),
+    o AS (SELECT page, regexp_extract(page, '^[A-Za-z]+://[^/]*', 0) AS origin, string_split(regexp_extract(page, '^[A-Za-z]+://[^/]*(.*)$', 1), '/') AS parts FROM pg),
+    q AS (SELECT page, origin, array_to_string(parts[: len(parts) - 1], '/') AS dir, array_to_string(parts[: greatest(len(parts) - 2, 0)], '/') AS above FROM o)
+    SELECT page, origin || above || '/about.html' AS link FROM q UNION SELECT page, origin || dir || '/near.html' FROM q UNION SELECT page, origin || '/top' FROM q UNION SELECT page, page FROM q""",
 )
 
 
+def _articles(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus as pages: each text as the larger of two articles between page parts, read back from the html."""
+    safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    parts = ["<html><head><title>", safe("title"), "</title><script>var x = 1;</script></head><body><nav>Menu Home</nav><article>x</article><article><p>", safe("content"), "</p><footer>Contact</footer></article></body></html>"]
+    page = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    read = crawl.articles(_docs(spark, sf).select("doc_id", page.alias("html")))
+    return read.select("doc_id", "title", F.md5("content").alias("content_md5"))
+
+
+_SPACE_SQL = r"[\s\p{Z}\x1c-\x1f\x{85}]+"
+_TOPIC_SQL = " + ".join(f"CAST(contains(lower(c), '{k}') AS INTEGER)" for k in text.TOPIC_KEYWORDS)
+_LONG_SQL = r"len(regexp_extract_all(c, '[^ \t\n\r\f\v]+')) >= 200"
+_add(
+    "article_extract",
+    _articles,
+    f"""WITH {_D}, a AS (SELECT doc_id, title, trim(regexp_replace(content, '{_SPACE_SQL}', ' ', 'g')) AS c FROM d)
+    SELECT doc_id, regexp_replace(title, '^{_SPACE_SQL}|{_SPACE_SQL}$', '', 'g') AS title, md5(c) AS content_md5 FROM a WHERE {_LONG_SQL} AND {_TOPIC_SQL} >= 3""",
+)
+
+
+def _categories(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree of categories - root, sources, the corpus's categories - down to its documents, with ways back to the root;
+    one of the branches is a disambiguation."""
+    low = read_table(spark, sf, "documents").select("doc_id", F.lower(F.trim("source")).alias("s"), "category", "title").where("s IS NOT NULL AND category IS NOT NULL")
+    name = F.concat("s", F.when(F.col("s") == "loomwiki", " (Disambiguation)").otherwise(""))
+    none, yes = F.lit(None).cast("bigint").alias("pageid"), F.lit(True).alias("is_category")
+    leaf = F.concat("s", F.lit("/"), "category")
+    branches = low.select(F.lit("root").alias("category"), name.alias("title"), none, yes).distinct()
+    leaves = low.select(name.alias("category"), leaf.alias("title"), none, yes).distinct()
+    back = leaves.select(F.col("title").alias("category"), F.lit("root").alias("title"), "pageid", "is_category")
+    articles = low.select(leaf.alias("category"), "title", F.col("doc_id").alias("pageid"), F.lit(False).alias("is_category"))
+    return crawl.categories(branches.unionByName(leaves).unionByName(back).unionByName(articles), ["root", "missing"])
+
+
+_add("category_articles", _categories, "SELECT DISTINCT doc_id AS pageid FROM documents WHERE lower(trim(source)) <> 'loomwiki' AND category IS NOT NULL")
+
+
+def _wiki_address(title: str) -> Column:
+    return F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace(title, F.lit(" "), F.lit("_")))
+
+
+def _wiki(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest content of every stored title that has a page number replaces what the store held, whatever its hash."""
+    rows = read_table(spark, sf, "crawl_store").where("pageid IS NOT NULL AND title IS NOT NULL AND content <> ''")
+    newest = rows.groupBy("title").agg(F.max(F.struct("last_crawled", "rec_id", "content", "pageid")).alias("n")).select("title", "n.content", "n.pageid")
+    first = rows.groupBy("title").agg(F.min(F.struct("last_crawled", "rec_id", "content")).alias("o"), F.count_distinct("rec_id").alias("states")).where("states > 1")
+    none = F.lit(None).cast("timestamp").alias("last_modified")
+    old = first.select(_wiki_address("title").alias("url"), "title", "o.content", F.md5("o.content").alias("content_hash"), F.lit("Wikipedia").alias("source"), F.lit(0).alias("word_count"), F.col("o.last_crawled").alias("first_crawled"), "o.last_crawled", F.lit(4).alias("update_count"), none)
+    out = crawl.upsert(old, crawl.wiki_pages(newest), F.lit(_NOW).cast("timestamp"), compare_hash=False)
+    return out.select("url", "action", "content_hash", F.col("update_count").cast("bigint").alias("update_count"))
+
+
 _NOW = "2025-07-01 00:00:00"
 
 
@@ -379,11 +452,8 @@ _add(
 
 def _frontier(spark: SparkSession, sf: str) -> DataFrame:
     """From the configured base urls over the site's sections to its pages."""
-    pages = read_table(spark, sf, "crawl_store").where("url IS NOT NULL").select(ledger.page_key(F.col("url")).alias("target")).distinct()
-    down = pages.select(F.regexp_extract("target", "^(.*)/[^/]*$", 1).alias("source"), "target")
-    sections = down.select(F.regexp_extract("source", "^(.*)/[^/]*$", 1).alias("s"), F.col("source").alias("target")).distinct().select(F.col("s").alias("source"), "target")
     starts = read_table(spark, sf, "source_config").select(F.col("base_url").alias("url"))
-    return crawl.frontier(down.unionByName(sections), starts, 3).select("url", F.col("depth").cast("int").alias("depth"))
+    return crawl.frontier(_edges(spark, sf), starts, 3).select("url", F.col("depth").cast("int").alias("depth"))
 
 
 _add(
@@ -394,6 +464,45 @@ _add(
     bfs AS (SELECT DISTINCT base_url AS url, 0 AS depth FROM source_config UNION SELECT ed.target, depth + 1 FROM bfs JOIN ed ON ed.source = bfs.url WHERE depth < 3)
     SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM bfs GROUP BY 1""",
 )
+_WIKI_SQL = "'https://en.wikipedia.org/wiki/' || replace(title, ' ', '_') AS url"
+_add(
+    "wiki_upsert",
+    _wiki,
+    f"""WITH r AS (SELECT * FROM crawl_store WHERE pageid IS NOT NULL AND title IS NOT NULL AND content <> ''),
+    n AS (SELECT {_WIKI_SQL}, arg_max(content, (last_crawled, rec_id)) AS c FROM r GROUP BY title),
+    g AS (SELECT url, md5(c) AS h FROM n WHERE {_LONG_SQL} AND {_TOPIC_SQL} >= 3),
+    o AS (SELECT {_WIKI_SQL}, md5(arg_min(content, (last_crawled, rec_id))) AS h, min(last_crawled) AS t FROM r GROUP BY title HAVING count(DISTINCT rec_id) > 1),
+    x AS (SELECT coalesce(o.url, g.url) AS url, CASE WHEN o.url IS NULL THEN 'inserted' WHEN g.url IS NULL THEN 'kept' WHEN floor((epoch(TIMESTAMP '{_NOW}') - epoch(t)) / 86400) < 30 THEN 'skipped' ELSE 'updated' END AS action,
+                 o.h AS oh, g.h AS gh FROM o FULL JOIN g ON o.url = g.url)
+    SELECT url, action, CASE WHEN action IN ('inserted', 'updated') THEN gh ELSE oh END AS content_hash, CAST(CASE action WHEN 'inserted' THEN 0 WHEN 'updated' THEN 5 ELSE 4 END AS BIGINT) AS update_count FROM x""",
+)
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    """From a site's root over its sections to its pages."""
+    pages = read_table(spark, sf, "crawl_store").where("url IS NOT NULL").select(ledger.page_key(F.col("url")).alias("target")).distinct()
+    down = pages.select(F.regexp_extract("target", "^(.*)/[^/]*$", 1).alias("source"), "target")
+    return down.unionByName(down.select(F.regexp_extract("source", "^(.*)/[^/]*$", 1).alias("s"), F.col("source").alias("target")).distinct().select(F.col("s").alias("source"), "target"))
+
+
+def _all_sites(spark: SparkSession, sf: str) -> DataFrame:
+    sites = read_table(spark, sf, "source_config").withColumn("start_urls", F.array("base_url"))
+    return crawl.crawl_sites(sites, _edges(spark, sf), 3, most_articles=20).select("place", "name", "url", "depth")
+
+
+_add(
+    "crawl_all_sites",
+    _all_sites,
+    f"""WITH RECURSIVE pg AS (SELECT DISTINCT @PAGE@ AS target FROM crawl_store WHERE url IS NOT NULL), dn AS (SELECT regexp_extract(target, '^(.*)/[^/]*$', 1) AS source, target FROM pg),
+    ed AS (SELECT * FROM dn UNION SELECT regexp_extract(source, '^(.*)/[^/]*$', 1), source FROM dn),
+    bfs AS (SELECT DISTINCT name, base_url AS url, 0 AS depth FROM source_config UNION SELECT name, ed.target, depth + 1 FROM bfs JOIN ed ON ed.source = bfs.url WHERE depth < 3),
+    f AS (SELECT name, url, min(depth) AS depth FROM bfs GROUP BY ALL),
+    cfg AS (SELECT name, regexp_extract(base_url, '//([^/?#]*)', 1) AS base, article_patterns, row_number() OVER (ORDER BY coalesce(priority, 3), name) AS place FROM source_config),
+    a AS (SELECT place, name, url, depth, row_number() OVER (PARTITION BY name ORDER BY depth, url) AS n FROM f JOIN cfg USING (name)
+          WHERE ({_HOST_SQL} = '' OR (contains({_HOST_SQL}, base) AND NOT ({_ASSET_SQL}) AND regexp_matches(lower(url), '^https?://')))
+            AND (({_PARTS_SQL}) OR coalesce(len(list_filter(article_patterns, lambda x: contains(lower(url), x))) > 0, false)))
+    SELECT CAST(place AS INTEGER) AS place, name, url, CAST(depth AS INTEGER) AS depth FROM a WHERE n <= 20""",
+)
 _add("sources_by_priority", lambda s, p: with_ordinal(read_table(s, p, "source_config").select("name", "priority"), [F.coalesce("priority", F.lit(3)), F.col("name")], "place", 1).select("place", "name"), "SELECT row_number() OVER (ORDER BY coalesce(priority, 3), name) AS place, name FROM source_config")
 
 
@@ -422,5 +531,5 @@ _STATES = f"""
                FROM newest n LEFT JOIN done d USING (item))"""
 _add("p5_found", lambda s, p: _ledger_states(s, p).where("state = 'pending'").select("rec_id"), f"WITH {_STATES} SELECT rec_id FROM states WHERE state = 'pending'")
 _add("p5_ledger_states", lambda s, p: _ledger_states(s, p).select("rec_id", "item", "state"), f"WITH {_STATES} SELECT rec_id, item, state FROM states")
-for _name in ("content_hash_upsert", "frontier_bfs"):
+for _name in ("content_hash_upsert", "frontier_bfs", "link_extract", "crawl_all_sites"):
     SQL[_name] = SQL[_name].replace("@PAGE@", _page_sql("url"))

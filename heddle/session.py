@@ -7,11 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _STAGES: dict[str, list[str]] = {}
+_ONCE: dict[str, dict] = {}
 
 
 def importable(spark: SparkSession) -> None:
@@ -64,8 +66,7 @@ def write_stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     """
     spark = df.sparkSession
     importable(spark)
-    path = os.path.join(shared_dir(spark), f"stage-{name}-{uuid.uuid4().hex}")
-    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = stage_path(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -73,12 +74,28 @@ def write_stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(spark: SparkSession, key: tuple, build: Callable):
+    """What ``build`` returns, built at the first call for ``key`` in this application; ``clear_stages`` forgets it."""
+    known = _ONCE.setdefault(spark.sparkContext.applicationId, {})
+    if key not in known:
+        known[key] = build()
+    return known[key]
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by ``clear_stages``."""
+    path = os.path.join(shared_dir(spark), f"stage-{name}-{uuid.uuid4().hex}")
+    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def clear_stages(spark: SparkSession) -> int:
     """Deletes the stages that this application has written so far, and returns their number.
 
     To be called when no result that rests on them is needed any more; a long-running service does so between jobs.
     """
     jvm = spark.sparkContext._jvm
+    _ONCE.pop(spark.sparkContext.applicationId, None)
     paths = _STAGES.pop(spark.sparkContext.applicationId, [])
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)

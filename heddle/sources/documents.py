@@ -73,3 +73,14 @@ def write_statistics(totals: DataFrame, sources: DataFrame, json_path: str, repo
         out.write(f"Documents: {stats['total_documents']:,}\nWords: {stats['total_words']:,}\nWords per document: {stats['avg_words_per_doc']:,.0f}\n")
         out.writelines(f"{r['source']}: {r['documents']:,} documents, {r['avg_words']:.0f} words on average\n" for r in rows)
     return stats
+
+
+def write_token_stats_csv(stats: DataFrame, path: str) -> None:
+    """``corpus.token_stats`` as CSV with a header. Documents are not timed one by one, so time_ms is empty unless given."""
+    time = F.col("time_ms") if "time_ms" in stats.columns else F.lit(None).cast("bigint").alias("time_ms")
+    stats.select("doc_id", "doc_size_chars", "doc_size_kb", "num_tokens", "avg_token_length", time).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_stemming_csv(table: DataFrame, path: str) -> None:
+    """``corpus.stemming_table`` as CSV with a header."""
+    table.select("original", "stemmed", "original_count", "stemmed_count").write.mode("overwrite").option("header", True).csv(path)

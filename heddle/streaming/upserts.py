@@ -42,7 +42,7 @@ class VersionedStore:
 def stream_upserts(crawled: DataFrame, store: VersionedStore, initial: DataFrame, checkpoint: str, recheck_days: int = 30) -> StreamingQuery:
     """Starts a query that merges every micro-batch of ``crawled`` (url, title, content, source, crawled_at) into the store.
 
-    A batch's time is its latest ``crawled_at``; ``initial`` is the store before the first batch.
+    Of several states of a page in one batch the newest by ``crawled_at`` is taken, with its time; ``initial`` is the store before the first batch.
     """
     if store.current() is None:
         store.write(initial, 0)
@@ -54,6 +54,6 @@ def stream_upserts(crawled: DataFrame, store: VersionedStore, initial: DataFrame
         now = batch.agg(F.max("crawled_at")).first()[0]
         if now is None:
             return
-        store.write(upsert(store.current(), batch.drop("crawled_at"), F.lit(now), recheck_days).drop("action"), version)
+        store.write(upsert(store.current(), batch, F.lit(now), recheck_days).drop("action"), version)
 
     return crawled.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

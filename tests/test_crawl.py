@@ -137,3 +137,44 @@ def test_recorded_runs_are_taken_in_once(spark, tmp_path):
     assert book.leases().count() == 4 and book.done().count() == 2
     token, rows = book.lease(ledger.newest_states(store.withColumn("content_hash", F.lit("new"))), "next", 60)
     assert token > 9 and rows.count() == 2
+
+
+def test_links_of_a_page(spark):
+    html = '<a href="../next.html">a</a><a href=bare.html>b</a><A HREF="/x?a=1&amp;b=2">c</A><a href="?q=1">d</a><a href="http://[broken">e</a><a>f</a>'
+    pages = spark.createDataFrame([(1, "https://a.example/s/t/page.html", html, "clash"), (2, None, html, None)], "id int, url string, html string, link0 string")
+    got = {(r.id, r.link) for r in crawl.links(pages, F.col("html"), F.lit("a.example"), F.col("url")).collect()}
+    root = "https://a.example"
+    assert got == {(1, f"{root}/s/next.html"), (1, f"{root}/s/t/bare.html"), (1, f"{root}/x"), (1, f"{root}/s/t/page.html"), (2, f"{root}/next.html"), (2, f"{root}/bare.html"), (2, f"{root}/x"), (2, root)}
+
+
+def test_upsert_takes_the_newest_state(spark):
+    columns = "url string, title string, content string, source string, crawled_at timestamp"
+    crawled = spark.createDataFrame([("https://a/p", "t", "zzz older", "s", datetime(2025, 1, 1)), ("https://a/p", "t", "aaa newer", "s", datetime(2025, 1, 5)), ("https://a/q", "t", "x", "s", None)], columns)
+    store = spark.createDataFrame([], "url string, title string, content string, content_hash string, source string, word_count int, first_crawled timestamp, last_crawled timestamp, update_count int, last_modified timestamp")
+    out = {r.url: r for r in crawl.upsert(store, crawled, F.lit(NOW)).collect()}
+    assert (out["https://a/p"].content, out["https://a/p"].last_crawled) == ("aaa newer", datetime(2025, 1, 5))
+    assert out["https://a/q"].last_crawled == NOW
+
+
+def test_all_sites_with_caps(spark):
+    sites = spark.createDataFrame([("B", "https://b.example", None, ["/look/"], 1), ("A", "https://a.example", ["https://a.example/start"], None, None)], "name string, base_url string, start_urls array<string>, article_patterns array<string>, priority int")
+    edges = [("https://a.example/start", f"https://a.example/news/{k}") for k in range(9)] + [("https://b.example", "https://b.example/look/1"), ("https://b.example/look/1", "https://b.example/look/2"), ("https://b.example", "https://a.example/news/1"), ("https://b.example", "https://b.example/about")]
+    edges = spark.createDataFrame(edges, "source string, target string")
+    got = [(r.place, r.name, r.url.rsplit("/", 1)[1], r.depth) for r in crawl.crawl_sites(sites, edges, most_articles=4).orderBy("place", "depth", "url").collect()]
+    assert got == [(1, "B", "1", 1), (1, "B", "2", 2), *[(2, "A", str(k), 1) for k in range(4)]]
+    assert crawl.crawl_sites(sites.limit(0), edges).count() == 0
+    assert crawl.capped(edges, 3, [F.col("target")]).count() == 3
+
+
+def test_wiki_pages(spark):
+    body = "silk dress designer textile " * 60
+    rows = spark.createDataFrame([("Red silk", body, 1), ("Short", "silk dress designer", 2), ("Off topic", "word " * 300, 3), (None, body, 4), ("None", None, 5)], "title string, content string, pageid bigint")
+    assert [(r.url, r.source, r.pageid) for r in crawl.wiki_pages(rows).collect()] == [("https://en.wikipedia.org/wiki/Red_silk", "Wikipedia", 1)]
+
+
+def test_written_store(spark, tmp_path):
+    rows = [("u1", 1, "old", "s"), ("u1", 3, "new", "s"), ("u2", 1, "x", None), (None, 1, "y", "s"), ("u1", 3, "new", "s")]
+    store = spark.createDataFrame([(u, datetime(2025, 1, d), h, s, d) for u, d, h, s in rows], "url string, last_crawled timestamp, content_hash string, source string, extra int")
+    crawl.write_store(store, str(tmp_path / "store"))
+    got = {(r.url, r.content_hash, r.source, r.extra) for r in spark.read.parquet(str(tmp_path / "store")).collect()}
+    assert got == {("u1", "new", "s", 3), ("u2", "x", None, 1)}

@@ -111,3 +111,11 @@ def test_empty_corpus(spark):
     index = build_index(spark.createDataFrame([], "doc_id bigint, text string, title string"))
     assert index.statistics().first().total_documents == 0
     assert ids(search.search(index, "!a")) == []
+
+
+def test_equal_documents_have_numbers_of_their_own(spark):
+    rows = [(1, "u", "red coat coat"), (1, "u", "red coat coat"), (None, "n", "silk"), (1, "u", "blue"), (2, None, None)]
+    index = build_index(spark.createDataFrame(rows, "doc_id bigint, url string, content string"))
+    assert sorted(r.doc_id for r in index.forward.collect()) == [0, 1, 2, 3, 4]
+    assert sorted((r.doc_id, r.tf) for r in index.postings.where("term = 'coat'").collect()) in ([(1, 2), (2, 2)], [(2, 2), (3, 2)], [(1, 2), (3, 2)])
+    assert [r.doc_id for r in index.find_term("silk").collect()] == [0]

@@ -119,3 +119,17 @@ def test_streamed_upserts(spark, tmp_path):
 
     assert run([("https://a/x", "t", "one", "s", datetime(2025, 1, 1)), ("https://a/y", "t", "two", "s", datetime(2025, 1, 1))]) == {"https://a/x": ("one", 0), "https://a/y": ("two", 0)}
     assert run([("https://a/x", "t", "other", "s", datetime(2025, 3, 1))]) == {"https://a/x": ("other", 1), "https://a/y": ("two", 0)}
+
+
+def test_csv_sinks(spark, tmp_path):
+    from heddle.operators import corpus
+    from heddle.sources.documents import write_stemming_csv, write_token_stats_csv
+
+    docs = spark.createDataFrame([(1, "Red coats, red silk"), (2, None)], "doc_id bigint, content string")
+    write_token_stats_csv(corpus.token_stats(docs), str(tmp_path / "t"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "t")).collect()
+    assert rows[0].asDict().keys() == {"doc_id", "doc_size_chars", "doc_size_kb", "num_tokens", "avg_token_length", "time_ms"}
+    assert {(r.doc_id, r.num_tokens) for r in rows} == {("1", "4"), ("2", "0")}
+    table = spark.createDataFrame([("coats", "coat", 2, 3)], "original string, stemmed string, original_count bigint, stemmed_count bigint")
+    write_stemming_csv(table, str(tmp_path / "s"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "s")).collect()] == [("coats", "coat", "2", "3")]
