@@ -56,6 +56,13 @@ def inverted(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"), F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
 
 
+def inverted_blocks(posted: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(term, block, df, occurrences, doc_ids): like ``inverted``, with the list of a frequent term in blocks of ``block``
+    consecutive documents, so that no row and no task holds a list over all documents."""
+    of = F.floor(F.col("doc_id") / F.lit(block)).cast("bigint").alias("block")
+    return posted.groupBy("term", of).agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"), F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+
+
 def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 

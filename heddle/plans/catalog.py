@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from heddle.functions import stemmer, text, tokenizer, url
 from heddle.operators import corpus, crawl, ledger, zipf
-from heddle.operators.index import Index, build_index, document_rows, document_tokens, inverted, vocabulary
+from heddle.operators.index import Index, build_index, document_rows, document_tokens, inverted, inverted_blocks, vocabulary
 from heddle.operators.numbering import with_ordinal
 from heddle.plans import search as searching
 from heddle.session import once, read_table, stage_path, write_stage
@@ -139,6 +139,12 @@ _add(
     f"WITH {_POST} SELECT term, count(*) AS df, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS doc_ids FROM p GROUP BY 1",
 )
 
+_add(
+    "postings_blocks",
+    lambda s, p: inverted_blocks(_index(s, p).postings, 100).select("term", "block", "df", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("doc_ids")),
+    f"WITH {_POST} SELECT term, CAST(doc_id // 100 AS BIGINT) AS block, count(*) AS df, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS doc_ids FROM p GROUP BY 1, 2",
+)
+
 
 # ---- search: each query's condition in SQL is over the sets of documents
 def _in(term: str) -> str:
@@ -426,27 +432,25 @@ _NOW = "2025-07-01 00:00:00"
 
 
 def _upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """All states of all pages against a store that holds each page's first state, where that had been updated before."""
     rows = read_table(spark, sf, "crawl_store").where("url IS NOT NULL AND content IS NOT NULL AND content <> ''").withColumn("url", ledger.page_key(F.col("url")))
-    one = rows.groupBy("url").agg(F.min(F.struct("last_crawled", "rec_id")).alias("a"), F.max(F.struct("last_crawled", "rec_id")).alias("b")).select("url", F.col("a.rec_id").alias("a"), F.col("b.rec_id").alias("b"))
-    both = rows.dropDuplicates(["url", "rec_id"]).join(one, "url")
-    old = both.where("rec_id = a AND update_count > 0").select("url", "title", "content", F.md5("content").alias("content_hash"), "source", "word_count", "first_crawled", "last_crawled", "update_count", "last_modified")
-    new = both.where("rec_id = b").select("url", "title", "content", "source")
+    first = rows.groupBy("url").agg(F.min(F.struct("last_crawled", "rec_id", "title", "content", "source", "word_count", "first_crawled", "update_count", "last_modified")).alias("a")).where("a.update_count > 0")
+    old = first.select("url", "a.title", "a.content", F.md5("a.content").alias("content_hash"), "a.source", "a.word_count", "a.first_crawled", "a.last_crawled", "a.update_count", "a.last_modified")
+    new = rows.select("url", "title", "content", "source", F.col("last_crawled").alias("crawled_at"))
     out = crawl.upsert(old, new, F.lit(_NOW).cast("timestamp"))
-    return out.select("url", "action", "content_hash", F.col("update_count").cast("bigint").alias("update_count"))
+    return out.select("url", "action", "content_hash", F.col("update_count").cast("bigint").alias("update_count"), F.unix_timestamp("last_crawled").alias("crawled"))
 
 
 _add(
     "content_hash_upsert",
     _upsert,
-    f"""WITH r AS (SELECT DISTINCT ON (u, rec_id) * FROM (SELECT *, @PAGE@ AS u FROM crawl_store WHERE url IS NOT NULL AND content IS NOT NULL AND content <> '')),
-    e AS (SELECT u, arg_min(rec_id, (last_crawled, rec_id)) AS a, arg_max(rec_id, (last_crawled, rec_id)) AS b FROM r GROUP BY 1),
-    o AS (SELECT r.u, md5(content) AS h, last_crawled, update_count FROM r JOIN e ON r.u = e.u AND r.rec_id = e.a WHERE update_count > 0),
-    n AS (SELECT r.u, md5(content) AS h FROM r JOIN e ON r.u = e.u AND r.rec_id = e.b),
-    x AS (SELECT coalesce(o.u, n.u) AS url, CASE WHEN o.u IS NULL THEN 'inserted' WHEN n.u IS NULL THEN 'kept'
-                 WHEN floor((epoch(TIMESTAMP '{_NOW}') - epoch(last_crawled)) / 86400) < 30 THEN 'skipped' WHEN o.h = n.h THEN 'touched' ELSE 'updated' END AS action, o.h AS oh, n.h AS nh, update_count
-          FROM o FULL JOIN n ON o.u = n.u)
+    """WITH r AS (SELECT *, @PAGE@ AS u FROM crawl_store WHERE url IS NOT NULL AND content IS NOT NULL AND content <> ''),
+    o AS (SELECT u, md5(arg_min(content, (last_crawled, rec_id))) AS h, min(last_crawled) AS t, arg_min(update_count, (last_crawled, rec_id)) AS c FROM r GROUP BY 1),
+    n AS (SELECT u, md5(arg_max(content, (last_crawled, content))) AS h, max(last_crawled) AS t FROM r GROUP BY 1),
+    x AS (SELECT n.u AS url, CASE WHEN o.u IS NULL THEN 'inserted' WHEN floor((epoch(n.t) - epoch(o.t)) / 86400) < 30 THEN 'skipped' WHEN o.h = n.h THEN 'touched' ELSE 'updated' END AS action, o.h AS oh, n.h AS nh, o.t AS ot, n.t AS nt, c
+          FROM n LEFT JOIN (SELECT * FROM o WHERE c > 0) o ON o.u = n.u)
     SELECT url, action, CASE WHEN action IN ('inserted', 'updated') THEN nh ELSE oh END AS content_hash,
-           CAST(CASE action WHEN 'inserted' THEN 0 WHEN 'updated' THEN update_count + 1 ELSE update_count END AS BIGINT) AS update_count FROM x""",
+           CAST(CASE action WHEN 'inserted' THEN 0 WHEN 'updated' THEN c + 1 ELSE c END AS BIGINT) AS update_count, CAST(floor(epoch(CASE WHEN action = 'skipped' THEN ot ELSE nt END)) AS BIGINT) AS crawled FROM x""",
 )
 
 

@@ -8,8 +8,10 @@ each term in byte order the term (one length byte), its number of documents and
 
 from __future__ import annotations
 
+import mmap
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,14 +88,22 @@ def _number(file: BinaryIO) -> int:
 
 def read_forward(file: BinaryIO) -> Iterator[tuple]:
     file.seek(read_header(file)["forward"])
-    for doc_id in range(_number(file)):
+    yield from _forward_rows(file, 0, _number(file))
+
+
+def _forward_rows(file: BinaryIO, first: int, rows: int) -> Iterator[tuple]:
+    for doc_id in range(first, first + rows):
         yield doc_id, _text(file, False), _text(file, True), _text(file, True), _number(file), _number(file)
 
 
 def read_inverted(file: BinaryIO, only: str | None = None) -> Iterator[tuple]:
     """(term, df, doc_ids); with ``only`` the lists of other terms are skipped, and reading ends behind its place in order."""
     file.seek(read_header(file)["inverted"])
-    for _ in range(_number(file)):
+    yield from _inverted_rows(file, _number(file), only)
+
+
+def _inverted_rows(file: BinaryIO, rows: int, only: str | None) -> Iterator[tuple]:
+    for _ in range(rows):
         term, n = _text(file, False), _number(file)
         if only is not None and term.encode() > only.encode():
             return
@@ -120,16 +130,53 @@ class IndexFileSource(DataSource):
         return _TermReader(options) if options.get("pushdown") == "true" and options.get("section", "inverted") == "inverted" else _Reader(options)
 
 
+@dataclass
+class _Stretch(InputPartition):
+    """Rows of a section from an offset on."""
+
+    offset: int
+    first: int
+    rows: int
+
+
+def stretches(path: str, section: str, rows: int) -> list[_Stretch]:
+    """Where every so many rows of a section begin; found by the lengths in the file, without reading lists and texts."""
+    out: list[_Stretch] = []
+    with open(path, "rb") as file:
+        at = read_header(file)[section]
+        with mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            (n,) = struct.unpack_from("<I", data, at)
+            at += 4
+            for k in range(n):
+                if k % rows == 0:
+                    out.append(_Stretch(at, k, min(rows, n - k)))
+                at += 1 + data[at]
+                if section == "forward":
+                    for _ in range(2):
+                        at += 2 + struct.unpack_from("<H", data, at)[0]
+                    at += 8
+                else:
+                    at += 4 + 4 * struct.unpack_from("<I", data, at)[0]
+    return out
+
+
 class _Reader(DataSourceReader):
+    """The path must be one that all executors can open, like the format's other readers do."""
+
     def __init__(self, options: dict):
         self.path, self.section, self.only = options["path"], options.get("section", "inverted"), None
+        self.rows = int(options.get("rowsperpartition", 1 << 16))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.path)]
+        return stretches(self.path, self.section, self.rows)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as file:
-            yield from read_forward(file) if self.section == "forward" else read_inverted(file, self.only)
+        with open(self.path, "rb") as file:
+            file.seek(partition.offset)
+            if self.section == "forward":
+                yield from _forward_rows(file, partition.first, partition.rows)
+            else:
+                yield from _inverted_rows(file, partition.rows, self.only)
 
 
 class _TermReader(_Reader):

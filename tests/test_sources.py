@@ -133,3 +133,16 @@ def test_csv_sinks(spark, tmp_path):
     table = spark.createDataFrame([("coats", "coat", 2, 3)], "original string, stemmed string, original_count bigint, stemmed_count bigint")
     write_stemming_csv(table, str(tmp_path / "s"))
     assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "s")).collect()] == [("coats", "coat", "2", "3")]
+
+
+def test_index_file_in_several_partitions(spark, tmp_path):
+    path = str(tmp_path / "many.bin")
+    docs = spark.createDataFrame([(k, f"u{k}", f"Title {k}", f"coat silk term{k} word{k % 3}") for k in range(20)], "doc_id bigint, url string, title string, content string")
+    index = build_index(docs)
+    indexfile.write(index, path)
+    spark.dataSource.register(indexfile.IndexFileSource)
+    for section in ("forward", "inverted"):
+        whole, cut = (spark.read.format("heddle_index").option("section", section).option("rowsPerPartition", n).load(path) for n in (1 << 16, 3))
+        assert cut.rdd.getNumPartitions() > 6 and whole.rdd.getNumPartitions() == 1
+        assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+        assert whole.count() == len(indexfile.stretches(path, section, 1))
