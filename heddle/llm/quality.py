@@ -51,6 +51,8 @@ DECIDING, HALF = ("entry_share", "strange_share", "repeat_share"), 0.5
 STATISTICS = ("word_count", "mean_word_length", "symbol_ratio", "line_end_share", "common_share", "entry_share", "strange_share", "repeat_share")
 #: Kept keys that are sent to all executors (8 bytes each); more are an error that asks for greater shares.
 MOST_KEYS = 1 << 24
+#: Languages and sources whose sizes are sent to all executors; more are joined by a shuffle, which gives the same.
+MOST_GROUPS = 1 << 18
 
 # Words that make clauses (verbs, pronouns, negations, conjunctions) in five languages.
 CLAUSE_WORDS = frozenset(
@@ -417,7 +419,7 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     keys, n = (all_keys.column(k).to_numpy() for k in (0, 1))
     # 'und' is no language: its documents are compared with all
     sizes = counts.where(F.col("key") == _DOCUMENTS).select("grp", F.col("n").alias("size"))
-    own = counts.where(~totals & (F.col("grp") != _group("und"))).join(F.broadcast(sizes), "grp")
+    own = counts.where(~totals & (F.col("grp") != _group("und"))).join(F.broadcast(sizes) if sizes.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS else sizes, "grp")
     odd = F.col("grp") % 2 != 0
     least = F.when(odd, F.greatest(F.lit(float(SOURCE_LEAST)), SOURCE_SHARE * F.col("size"))).otherwise(F.greatest(F.lit(float(KEEP_LEAST)), KEEP_SHARE * F.col("size")))
     word = ~odd & (F.col("key") % 2 == 0) & (F.col("n") >= F.greatest(F.lit(float(KEEP_LEAST)), 2 * KEEP_SHARE * F.col("size")))

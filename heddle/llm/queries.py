@@ -30,6 +30,12 @@ def p1_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return quality.profiles(write_stage(quality.statistics(docs, read_table(spark, sf, "common_words")), "statistics"))
 
 
+def p1_figures(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "title", "text", "source")
+    figures = quality.statistics(docs, read_table(spark, sf, "common_words"))
+    return figures.select("doc_id", F.col("word_count").cast("bigint").alias("words"), F.round("mean_word_length", 4).alias("mean_word_length"), F.round("common_share", 4).alias("common_share"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return page_body.lines_outside_body(read_table(spark, sf, "crawl_store").select("rec_id", "url", "title", "content"))
 
@@ -116,6 +122,7 @@ def p10_split(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_profiles": p1_profiles,
+    "p1_figures": p1_figures,
     "p2_found": p2_found,
     "p2_bodies": p2_bodies,
     "p3_found": p3_found,
@@ -135,6 +142,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "p1_figures": """WITH c AS (SELECT list(DISTINCT lower(trim(word))) AS common FROM common_words WHERE word IS NOT NULL),
+        w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{Nl}\\p{No}]+') AS words FROM documents WHERE doc_id IS NOT NULL)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS words, round(CASE WHEN len(words) > 0 THEN list_sum(list_transform(words, lambda x: length(x))) / len(words) ELSE 0 END, 4) AS mean_word_length,
+               round(CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda x: list_contains(common, x))) / len(words) ELSE 0 END, 4) AS common_share FROM w, c""",
     "p4_found": f"""WITH {_PAIRS}
         SELECT term, CASE WHEN df < 3 THEN 'rare' ELSE 'common' END AS mark FROM d, n WHERE df < 3 OR 5 * df > n""",
     "p4_term_counts": f"""WITH {_PAIRS}

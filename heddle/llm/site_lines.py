@@ -26,6 +26,8 @@ from heddle.session import spread, write_stage
 WINDOW, CUT_BITS = 12, 5
 #: Bytes hashed at once; a longer single text is hashed whole.
 STEP_BYTES = 1 << 20
+#: Bytes of a longer text whose chunks are hashed at once.
+PART_BYTES = 1 << 22
 
 _RNG = np.random.default_rng(20240229)
 _GEAR = _RNG.integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -50,7 +52,14 @@ def normal_text(text: Column) -> Column:
 
 
 def _hashed(data: np.ndarray, starts: np.ndarray, which: int, salt: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the stretches of ``data`` that begin at ``starts`` and end where the next begins."""
+    """64-bit hashes of the stretches of ``data`` that begin at ``starts`` and end where the next begins.
+
+    Long data are hashed in parts that end with a stretch, so that memory is needed for one part.
+    """
+    half = int(np.searchsorted(starts, len(data) // 2))
+    if len(data) > PART_BYTES and 0 < half < len(starts):
+        at = int(starts[half])
+        return np.concatenate([_hashed(data[:at], starts[:half], which, salt[:half]), _hashed(data[at:], starts[half:] - at, which, salt[half:])])
     sizes = np.diff(np.append(starts, len(data)))
     place = np.arange(len(data)) - np.repeat(starts, sizes)
     powers = np.cumprod(np.full(int(sizes.max()), _BASE[which]), dtype=np.uint64)
@@ -73,8 +82,9 @@ def _chunks_of(places: np.ndarray, doc_ids: np.ndarray, salts: np.ndarray, data:
     docs = len(ends)
     newline = data == 10
     begins = np.append(0, ends[:-1] + 1)
-    text = np.repeat(np.arange(docs), ends + 1 - begins)  # of each byte
-    place = np.arange(len(data)) - begins[text]
+    text = np.repeat(np.arange(docs, dtype=np.int32), ends + 1 - begins)  # of each byte
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    place = np.arange(len(data), dtype=kind) - begins.astype(kind)[text]
     rolled = np.zeros(len(data), np.uint32)
     for k in range(WINDOW):
         rolled[k:] += _GEAR[data[: len(data) - k]] << np.uint32(k)
@@ -97,9 +107,9 @@ def _chunks_of(places: np.ndarray, doc_ids: np.ndarray, salts: np.ndarray, data:
     number = np.arange(len(of)) - first_line[of] + 1
     long = np.add.reduceat(letter.astype(np.int32), line_starts) >= least_letters
     b, e, of, number = line_starts[long], line_stops[long], of[long], number[long]
-    cuts = np.cumsum(stop)  # of each byte: chunks that end up to here
+    cuts = np.cumsum(stop, dtype=kind)  # of each byte: chunks that end up to here
     first = cuts[np.minimum(b + WINDOW - 2, e - 1)]  # the chunk of the line's first own cut
-    real = np.append(0, np.cumsum(cut))
+    real = np.append(kind(0), np.cumsum(cut, dtype=kind))
     inner = np.maximum(real[e] - real[np.minimum(b + WINDOW - 1, e)] - 1, 0)
     first_chunk = np.searchsorted(text[stops], np.arange(docs))
     keep = np.zeros(len(data), np.int8)

@@ -95,3 +95,15 @@ def test_stretches_of_texts_without_line_ends(spark):
         own = [w for w in before.split() if w not in NOTICE.replace("2021", str(2000 + r.doc_id)).split()]
         assert [w for w in r.text.split() if w in set(own)] == own  # nothing else is lost
     assert site_lines.without_repeated_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    data, starts = rng.integers(97, 120, 5000).astype(np.uint8), np.sort(rng.choice(np.arange(1, 5000), 200, replace=False))
+    starts = np.append(0, starts)
+    salt = rng.integers(0, 9, len(starts)).astype(np.uint64)
+    whole = site_lines._hashed(data, starts, 0, salt)
+    monkeypatch.setattr(site_lines, "PART_BYTES", 100)
+    assert (site_lines._hashed(data, starts, 0, salt) == whole).all()
