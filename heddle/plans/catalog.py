@@ -46,12 +46,12 @@ def _ranks(spark: SparkSession, sf: str) -> DataFrame:
 def _index(spark: SparkSession, sf: str) -> Index:
     """Built and saved once per session and folder, as a search engine's index is; sorted by term, so that lookups prune."""
 
-    def build() -> Index:
+    def build() -> str:
         path = stage_path(spark, "index")
         build_index(_docs(spark, sf)).save(path)
-        return Index.load(spark, path)
+        return path
 
-    return once(spark, ("index", sf), build)
+    return Index.load(spark, once(spark, ("index", sf), build, "postings/_SUCCESS"))
 
 
 # SQL fragments

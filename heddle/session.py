@@ -74,10 +74,16 @@ def write_stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def once(spark: SparkSession, key: tuple, build: Callable):
-    """What ``build`` returns, built at the first call for ``key`` in this application; ``clear_stages`` forgets it."""
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def once(spark: SparkSession, key: tuple, build: Callable, marker: str) -> str:
+    """The path that ``build`` returns, built at the first call for ``key`` in this application, and again where its file
+    ``marker`` is gone; ``clear_stages`` forgets it."""
     known = _ONCE.setdefault(spark.sparkContext.applicationId, {})
-    if key not in known:
+    if key not in known or not exists(spark, f"{known[key]}/{marker}"):
         known[key] = build()
     return known[key]
 
