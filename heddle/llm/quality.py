@@ -415,24 +415,23 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     of_lang, totals = counts.where("grp % 2 = 0"), F.col("key").isin(_DOCUMENTS, _WORDS)
     documents = of_lang.where(F.col("key") == _DOCUMENTS).agg(F.sum("n")).first()[0] or 0
     all_keys = of_lang.where(~totals).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(KEEP_LEAST, KEEP_SHARE * documents))
-    all_keys = _checked(all_keys).toArrow()
-    keys, n = (all_keys.column(k).to_numpy() for k in (0, 1))
+    all_keys = _checked(all_keys.select("key", (F.col("n") >= 2 * KEEP_SHARE * documents).alias("often"))).toArrow()
+    keys, often = (all_keys.column(k).to_numpy() for k in (0, 1))
     # 'und' is no language: its documents are compared with all
     sizes = counts.where(F.col("key") == _DOCUMENTS).select("grp", F.col("n").alias("size"))
     own = counts.where(~totals & (F.col("grp") != _group("und"))).join(F.broadcast(sizes) if sizes.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS else sizes, "grp")
     odd = F.col("grp") % 2 != 0
     least = F.when(odd, F.greatest(F.lit(float(SOURCE_LEAST)), SOURCE_SHARE * F.col("size"))).otherwise(F.greatest(F.lit(float(KEEP_LEAST)), KEEP_SHARE * F.col("size")))
     word = ~odd & (F.col("key") % 2 == 0) & (F.col("n") >= F.greatest(F.lit(float(KEEP_LEAST)), 2 * KEEP_SHARE * F.col("size")))
-    own_keys = own.where(F.col("n") >= least).select("grp", "key", word.alias("known"), "n")
-    own_keys = _checked(own_keys).toArrow()
-    group, key, is_known, n_own = (own_keys.column(k).to_numpy() for k in range(4))
-    held: dict[int, int] = {}
-    for g, k in zip(group[is_known].tolist(), n_own[is_known].tolist()):
-        held[g] = held.get(g, 0) + k
+    # a key and its group travel as one number
+    mixed = F.col("key").bitwiseXOR(F.col("grp").bitwiseAND(F.lit(-2)))
+    own_keys = _checked(own.where(F.col("n") >= least).select("grp", mixed.alias("mixed"), word.alias("known"), "n"))
+    held = {g: n for g, n in own_keys.where("known").groupBy("grp").agg(F.sum("n")).collect()}  # one row per language
     words = of_lang.where((F.col("key") == _WORDS) & (F.col("grp") != _group("und"))).select("grp", "n").collect()
     unsure = frozenset(g for g, k in words if held.get(g, 0) < LEAST_KNOWN * k)
-    mixed = key ^ (group & ~1)
-    sent = spark.sparkContext.broadcast((np.sort(keys), np.sort(keys[n >= 2 * KEEP_SHARE * documents]), np.sort(mixed), np.sort(mixed[is_known]), unsure))
+    mixed_keys = own_keys.select("mixed", "known").toArrow()
+    own_sorted, is_known = (mixed_keys.column(k).to_numpy() for k in (0, 1))
+    sent = spark.sparkContext.broadcast((np.sort(keys), np.sort(keys[often]), np.sort(own_sorted), np.sort(own_sorted[is_known]), unsure))
     schema = "doc_id bigint, lang string, " + ", ".join(f"{s} double" for s in STATISTICS) + ", residue boolean"
     return rows.mapInArrow(_measure(common, sent), schema)
 
