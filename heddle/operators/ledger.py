@@ -10,14 +10,12 @@ have a fixed path, so that a repeated write replaces itself instead of adding ro
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from heddle.functions.url import page_key
-from heddle.session import shared_dir
+from heddle.session import stage_path
 
 _LEASE = "item string, version string, token bigint, worker string, expires_at timestamp"
 _DONE = "item string, version string, token bigint"
@@ -75,7 +73,7 @@ def page_states(store: DataFrame, processed: DataFrame, runs: DataFrame, path: s
 
     The ledger lies at ``path``, or at a new place in the shared folder. Taking the same runs in again changes nothing.
     """
-    ledger = WorkLedger(store.sparkSession, path or f"{shared_dir(store.sparkSession)}/ledger-{uuid.uuid4().hex}")
+    ledger = WorkLedger(store.sparkSession, path or stage_path(store.sparkSession, "ledger"))
     ledger.replay(run_events(processed, runs))
     return ledger.states(newest_states(store))
 
